@@ -96,6 +96,7 @@ class ByteBPE:
         self.added = {a["content"]: a["id"] for a in spec["added_tokens"]}
         for text, i in self.added.items():
             self.token_bytes[i] = text.encode()
+        self.token_sizes = np.array(list(map(len, self.token_bytes)))
         self.byte_id = [vocab[c] for c in byte_symbols()]
         self._byte_ids = np.array(self.byte_id, np.int64)
         self._merge: list[tuple[int, int, int]] = []  # by rank: left, right and merged id
@@ -105,13 +106,12 @@ class ByteBPE:
         packed = np.array([a << 32 | b for a, b, _ in self._merge], np.int64)
         self._pair_rank = np.argsort(packed, kind="stable")
         self._pairs = packed[self._pair_rank]
-        self.merge_words = self._merge_all
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self._spaced, self._plain, self._words = Recent(), Recent(), Recent()
         self._odd: dict[str, str] = {}
         self._seen: set[str] = set(map(chr, range(128)))
         self._path = path
-        self._prober = None
+        self._prober = self._libraries = None
         self._newline = self._pack([self.byte_id[10]])
 
     @staticmethod
@@ -155,15 +155,29 @@ class ByteBPE:
         at = np.minimum(np.searchsorted(self._pairs, pairs), len(self._pairs) - 1)
         return np.where(self._pairs[at] == pairs, self._pair_rank[at], -1)
 
-    def quick(self) -> "ByteBPE":
-        """From now on unknown words go to the tiktoken library's merges, where ids follow ranks; else to the index."""
-        base = len(self.byte_id)
-        if sorted(self.byte_id) == list(range(base)) and all(made == base + r for r, (_, _, made) in enumerate(self._merge)):
-            import tiktoken
+    def library_ids(self, text: str) -> np.ndarray:
+        """Ids of one text by the tokenizers' own libraries.
 
-            table = tiktoken.Encoding("ranks", pat_str=r"\S+", mergeable_ranks={self.token_bytes[i]: i for i in range(base + len(self._merge))}, special_tokens={})
-            self.merge_words = lambda words: [self._pack(table._encode_single_piece(w)) for w in words]
-        return self
+        tiktoken has the same merges where ids follow ranks, at several times
+        the speed; texts with characters whose classes the two libraries see
+        differently, or with added tokens, go to tokenizers.
+        """
+        if self._libraries is None:
+            import tiktoken
+            import tokenizers
+
+            base = len(self.byte_id)
+            by_rank = sorted(self.byte_id) == list(range(base)) and all(made == base + r for r, (_, _, made) in enumerate(self._merge))
+            table = tiktoken.Encoding("ranks", pat_str=_PATTERN.pattern, mergeable_ranks={self.token_bytes[i]: i for i in range(base + len(self._merge))}, special_tokens={}) if by_rank else None
+            self._libraries = table, tokenizers.Tokenizer.from_file(self._path)
+            self._libraries[1].no_truncation()
+            self._libraries[1].no_padding()
+        table, whole = self._libraries
+        if not text.isascii():
+            self._learn_classes(text)
+        if table is None or self._odd and not self._odd.keys().isdisjoint(text) or any(a in text for a in self.added):
+            return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
+        return table.encode_to_numpy(text, disallowed_special=())
 
     def _merge_all(self, words: list[str]) -> list[bytes]:
         """The ids of each pre-token, as bytes; all pre-tokens of the call share one index."""
@@ -236,7 +250,7 @@ class ByteBPE:
         """Ids of every pre-token in ``wanted``; unknown ones go through the index together."""
         known, new = self._words.part(wanted)
         if new:
-            made = dict(zip(new, self.merge_words(new), strict=True))
+            made = dict(zip(new, self._merge_all(new), strict=True))
             self._words.add(made)
             known.update(made)
         return known
