@@ -32,7 +32,7 @@ RATES = {
     "word_length": ("word_chars / n_words", 0.75, True),
     "symbol_rate": ("n_symbols / word_chars", 0.02, False),
     "dup_line_rate": ("n_dup_lines / n_lines", 0.1, False),
-    "repeat_rate": ("n_repeat_words / n_words", 0.02, False),
+    "repeat_rate": ("n_repeat_words / n_words", 0.05, False),
 }
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 

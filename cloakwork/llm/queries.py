@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, quality, sharding
+from . import bpe, exact_dedup, packing, pii, quality, sharding, wordpiece
 from .common import documents
 
 
@@ -30,16 +30,28 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
 
+#: The secret of the pseudonyms; give your own to keep them private.
+PII_KEY = b"cloakwork demonstration key"
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(documents(spark, sf_dir).select("doc_id", "text"), PII_KEY)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.count_tokens(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op3_sharding, op4_exact_dedup, op7_packing, op9_quality)}
+    return {f.__name__: f for f in (op1_bpe, op3_sharding, op4_exact_dedup, op5_pii, op7_packing, op8_token_counts, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
