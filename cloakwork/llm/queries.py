@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, packing, pii, quality, sharding, toxicity, wordpiece
+from . import bpe, exact_dedup, langid, ngram_join, packing, pii, quality, sharding, toxicity, wordpiece
 from .common import documents
 
 
@@ -58,8 +58,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(documents(spark, sf_dir))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_documents(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_language, op3_sharding, op4_exact_dedup, op5_pii, op6_toxicity, op7_packing, op8_token_counts, op9_quality)}
+    return {f.__name__: f for f in (op1_bpe, op2_language, op3_sharding, op4_exact_dedup, op5_pii, op6_toxicity, op7_packing, op8_token_counts, op9_quality, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
