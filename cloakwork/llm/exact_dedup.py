@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, sub_batches
+from .common import cut, fresh, sub_batches
 
 #: Distinct keys a bucket may hold before it is split.
 BUCKET_KEYS = 4096
@@ -172,3 +172,13 @@ def exact_groups(docs: DataFrame, *, bucket_keys: int = BUCKET_KEYS, id_col: str
     judged = joined.select("doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("sha").alias("text_sha256"))
     first = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy("keep_id")) == 1
     return judged.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & first).alias("kept"), "text_sha256")
+
+
+def keep_one(docs: DataFrame, *, bucket_keys: int = BUCKET_KEYS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; of rows equal in id and text one stays."""
+    kept = exact_groups(docs, bucket_keys=bucket_keys, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
+    digest, place = fresh(docs, "sha"), fresh(docs, "place")
+    marked = docs.withColumn(digest, F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
+    on = (F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_keep_id"))) & (F.col(digest) == F.col("_keep_sha"))
+    one = F.row_number().over(Window.partitionBy(F.col(f"`{id_col}`"), F.col(digest)).orderBy(F.col(digest)))
+    return marked.join(kept, on, "left_semi").withColumn(place, one).where(F.col(place) == 1).drop(digest, place)

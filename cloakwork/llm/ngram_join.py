@@ -382,3 +382,13 @@ def link_documents(docs: DataFrame, *, n: int = 3, similarity: Fraction = Fracti
     empty = F.col("n_shingles") == 0
     out = thin.select("doc_id", "n_shingles", F.when(~empty & F.col("doc_id").isNotNull(), F.col("set_id")).alias("set_id")).join(final, "set_id", "left")
     return out.select("doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("set_copies"))
+
+
+def keep_one(docs: DataFrame, *, n: int = 5, similarity: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, of each component's smallest id.
+
+    Rows without n-grams or without an id stay; rows that repeat that id stay together.
+    """
+    found = link_documents(docs, n=n, similarity=similarity, id_col=id_col, text_col=text_col)
+    gone = found.where((F.col("n_shingles") > 0) & (F.col("component_id") != F.col("doc_id"))).select(F.col("doc_id").alias("_gone_id")).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_gone_id"), "left_anti")

@@ -15,12 +15,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Recent
-from .common import crc_bucket, sub_batches
+from .common import crc_bucket, fresh, text_view
 
 #: Labelled documents of each class that training takes at most, those with the smallest hashes of their ids.
 SAMPLE_PER_CLASS = 4000
@@ -140,26 +141,33 @@ def train(sample: list[tuple[np.ndarray, int]], *, buckets: int = BUCKETS, featu
     return Model(chosen.astype(np.int64), float(params[0][0]), params[1], params[2])
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score (0 to 1) of every whole text; empty and null texts have the bias alone."""
+def score_column(docs: DataFrame, model: Model, text_col: str = "text"):
+    """A column with the score (0 to 1) of every whole text; empty and null texts have the bias alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES rows at most
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("double")
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = shared.value
         place = {int(b): i for i, b in enumerate(model.buckets)}
         recent = Recent()
-        for whole in batches:
-            for batch in sub_batches(whole):
-                words = [set((t or "").lower().encode().split()) for t in batch.column("text").to_pylist()]
+        for texts in batches:
+            logits = []
+            for at in range(0, len(texts), 500):
+                words = [set((t or "").lower().encode().split()) for t in texts[at : at + 500]]
                 known, new = recent.part(set().union(*words))
                 made = {w: tuple(place[b] for b in word_buckets(w) if b in place) for w in new}
                 recent.add(made)
                 known.update(made)
-                logits = np.array([model.logit(sorted({f for x in map(known.__getitem__, w) if x for f in x})) for w in words], np.float64)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(1 / (1 + np.exp(-np.clip(logits, -30, 30))))})
+                logits += [model.logit(sorted({f for x in map(known.__getitem__, w) if x for f in x})) for w in words]
+            yield pd.Series(1 / (1 + np.exp(-np.clip(np.array(logits, np.float64), -30, 30))))
+
+    return score(F.col(text_col).cast("string"))
 
-    return rows.mapInArrow(run, "doc_id long, score double")
+
+def fit(docs: DataFrame, labels: DataFrame, *, hold_out: int = 5, per_class: int = SAMPLE_PER_CLASS) -> Model:
+    """Learn from labelled rows whose crc32 of the id, modulo ``hold_out``, is not 0."""
+    learnable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(crc_bucket("doc_id", hold_out) != 0)
+    return train(labelled_sample(text_view(docs), learnable, per_class))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, hold_out: int = 5, threshold: float = 0.5, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
@@ -170,7 +178,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, hold_out: int = 5, threshold
     rows score alike; with empty labels every score is 0.5; an empty table
     gives no rows; other columns are ignored.
     """
-    learnable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(crc_bucket("doc_id", hold_out) != 0)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = train(labelled_sample(plain, learnable, per_class))
-    return score(plain, model).select("doc_id", F.coalesce(crc_bucket("doc_id", hold_out) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    model = fit(docs, labels, hold_out=hold_out, per_class=per_class)
+    scored = text_view(docs).select("doc_id", score_column(docs, model).alias("score"))
+    return scored.select("doc_id", F.coalesce(crc_bucket("doc_id", hold_out) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def remove_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, hold_out: int = 5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is under ``threshold``; no row moves."""
+    model = fit(docs, labels, hold_out=hold_out)
+    score = fresh(docs, "score")
+    return docs.withColumn(score, score_column(docs, model)).where(F.col(score) < threshold).drop(score)

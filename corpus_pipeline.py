@@ -1,17 +1,56 @@
-"""The corpus pipeline: stages that each call one document operator."""
+"""The corpus pipeline: stages that each call one document operator.
+
+Toxic documents go, then exact copies, then near copies (five words, 0.8);
+personal data is replaced; what is left is packed into sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cloakwork.llm import exact_dedup, ngram_join, packing, pii, toxicity
+from cloakwork.llm.queries import PII_KEY, vocabulary
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.remove_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.keep_one(docs)
+
 
-STAGES = []
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return ngram_join.keep_one(docs)
 
-#: The stages train a model, link near copies and pack tokens, which SQL cannot express; tests hold them against brute force.
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    hidden = pii.pseudonymise(docs, PII_KEY, count_col=None, kinds_col=None)
+    return hidden.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else hidden
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(docs, vocabulary("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("ngram_join", drop_near_copies),
+    ("pii", hide_personal_data),
+    ("packing", pack),
+]
+
+#: A trained classifier, keyed permutations and bin packing have no SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over all of ``documents``; checkpoints in between cut the lineage."""
+    from cloakwork.llm.common import cut
+
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs if k == 0 else cut(docs), sf_dir)
     return docs
