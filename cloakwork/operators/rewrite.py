@@ -18,7 +18,6 @@ ALTERNATION_RULES = 400
 MOST_RULES = 500_000
 
 EVENT = "orig_off int, orig_len int, anon_off int, anon_len int, from string, to string, category string, mapping_id string"
-RULE = T.StructType.fromDDL("from string, to string, category string, id string, ci boolean")
 
 
 def compile_rules(smap: DataFrame, case_insensitive: tuple[str, ...] = CASE_INSENSITIVE) -> DataFrame:

@@ -1,0 +1,153 @@
+"""Queries of rewriting, verification and the resolving loop."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import index, rewrite, submap, verify
+from ..rules import DEFAULT_RULES
+from . import sql
+from .catalogue import query
+from .tables import IPV4, doc_segments, ipv4_map, page_segments, table, turn_segments
+
+_IP_OCC = sql.first_wins(sql.occurrences(sql.DOC_SEGMENTS, IPV4))
+_MAP = f"select value as \"from\", placeholder as \"to\", n, 'network:' || lpad(n::varchar, 4, '0') as id from ({sql.with_placeholders(sql.candidates(_IP_OCC))})"
+
+
+def _rewritten(source: str) -> str:
+    """The map holds IPv4 addresses; finds of their own pattern that it holds are replaced, unless a longer address contains them."""
+    p = sql.quote(IPV4[0].regex)
+    return f"""with map as materialized ({_MAP}), hit as (select * from ({source}) where regexp_matches(text, {p})),
+      parts as (select file_rel, seg_ord, seg_id, v, string_split_regex(text, {p}) as g from (select *, regexp_extract_all(text, {p}) as v from hit)),
+      one as (select file_rel, seg_id, unnest(range(1, len(v) + 1)) as i, v, g from parts),
+      ev as (select one.file_rel, one.seg_id, one.i, one.v[one.i] as found, map."to", map.id,
+          (list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(v[1:i-1], lambda x: length(x))), 0))::int as orig_off
+        from one left join map on one.v[one.i] = map."from"),
+      shifted as (select *, coalesce(sum(length(coalesce("to", found)) - length(found)) over (partition by file_rel, seg_id order by i rows between unbounded preceding and 1 preceding), 0)::int as shift from ev)"""
+
+
+_EVENTS = _rewritten(sql.DOC_SEGMENTS) + """ select file_rel, seg_id, orig_off, length(found)::int as orig_len, (orig_off + shift)::int as anon_off, length("to")::int as anon_len,
+      found as "from", "to", 'network' as category, id as mapping_id, 'T2_human' as tier from shifted where "to" is not null"""
+
+
+def _text_sql(source: str) -> str:
+    return _rewritten(source) + f""", glued as (select o.file_rel, o.seg_id, string_agg(p.g[o.i] || coalesce(o."to", o.found), '' order by o.i) || first(p.g[len(p.g)]) as text
+        from ev o join parts p using (file_rel, seg_id) group by o.file_rel, o.seg_id)
+      select s.file_rel, s.seg_id, coalesce(glued.text, s.text) as text from ({source}) s left join glued using (file_rel, seg_id)"""
+
+
+def _apply(spark: SparkSession, sf_dir: str, segments: DataFrame) -> DataFrame:
+    return rewrite.apply_rules(segments, rewrite.compile_rules(index.materialised(ipv4_map(spark, sf_dir))))
+
+
+@query(_text_sql(sql.DOC_SEGMENTS))
+def apply_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _apply(spark, sf_dir, doc_segments(spark, sf_dir)).select("file_rel", "seg_id", "text")
+
+
+@query(_EVENTS)
+def apply_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rewrite.event_rows(_apply(spark, sf_dir, doc_segments(spark, sf_dir)))
+
+
+@query(f"select file_rel, count(*) as n_events, count(distinct mapping_id) as n_rules from ({_EVENTS}) group by file_rel")
+def apply_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = rewrite.event_rows(_apply(spark, sf_dir, doc_segments(spark, sf_dir)))
+    return events.groupBy("file_rel").agg(F.count("*").alias("n_events"), F.countDistinct("mapping_id").alias("n_rules"))
+
+
+@query(_text_sql(sql.PAGE_SEGMENTS))
+def apply_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _apply(spark, sf_dir, page_segments(spark, sf_dir)).select("file_rel", "seg_id", "text")
+
+
+@query(_text_sql(sql.TURN_SEGMENTS))
+def apply_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _apply(spark, sf_dir, turn_segments(spark, sf_dir)).select("file_rel", "seg_id", "text")
+
+
+@query(f"select file_rel, seg_id, text from ({sql.DOC_SEGMENTS})")
+def apply_noop_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An empty map changes nothing."""
+    return rewrite.apply_rules(doc_segments(spark, sf_dir), rewrite.compile_rules(ipv4_map(spark, sf_dir).limit(0))).select("file_rel", "seg_id", "text")
+
+
+@query(f"select file_rel, seg_id, orig_off, anon_off, sum(anon_len - orig_len) over (partition by file_rel, seg_id order by orig_off)::bigint as shift_after from ({_EVENTS})")
+def event_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql.window import Window
+
+    events = rewrite.event_rows(_apply(spark, sf_dir, doc_segments(spark, sf_dir)))
+    return events.select("file_rel", "seg_id", "orig_off", "anon_off", F.sum(F.col("anon_len") - F.col("orig_len")).over(Window.partitionBy("file_rel", "seg_id").orderBy("orig_off")).alias("shift_after"))
+
+
+@query(f"select category, count(*) as n_events, count(distinct \"from\") as n_values from ({_EVENTS}) group by category")
+def events_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import score
+
+    return score.by_category(rewrite.event_rows(_apply(spark, sf_dir, doc_segments(spark, sf_dir))))
+
+
+_HITS = sql.occurrences("select file_rel, 0 as seg_ord, file_rel as seg_id, text from (" + sql.DOC_SEGMENTS + ")", DEFAULT_RULES)
+
+
+@query(f"select file_rel, rule as pattern, value as match, off from (select *, row_number() over (partition by file_rel, off, length(value) order by rule_ord) as rn from ({_HITS})) where rn = 1")
+def verify_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.verify(doc_segments(spark, sf_dir)).select("file_rel", "pattern", "match", "off")
+
+
+@query(f"select pattern, count(*) as n_hits, count(distinct file_rel) as n_files from (select file_rel, rule as pattern, row_number() over (partition by file_rel, off, length(value) order by rule_ord) as rn from ({_HITS})) where rn = 1 group by pattern")
+def verify_by_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verify.verify(doc_segments(spark, sf_dir)).groupBy("pattern").agg(F.count("*").alias("n_hits"), F.countDistinct("file_rel").alias("n_files"))
+
+
+@query("select count(*) as n_files, 0::bigint as n_hits from documents")
+def verify_clean_after_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After rewriting no address is left: neither by its pattern nor as a value of the map."""
+    smap = index.materialised(ipv4_map(spark, sf_dir))
+    done = rewrite.apply_rules(doc_segments(spark, sf_dir), rewrite.compile_rules(smap))
+    hits = verify.verify(done, smap, IPV4, normalise=False)
+    return done.agg(F.count("*").alias("n_files")).join(hits.agg(F.count("*").alias("n_hits")))
+
+
+_WORDS = "(values ('brand', 0, 'the', 'Vendor1'), ('brand', 1, 'with', 'Vendor02'), ('ids', 0, 'idiot', 'ID000'), ('other', 0, 'pathetic', 'x-pathetic')) t(category, entry_ord, \"from\", \"to\")"
+
+
+def _words(spark: SparkSession) -> DataFrame:
+    rows = [("brand", 0, "the", "Vendor1"), ("brand", 1, "with", "Vendor02"), ("ids", 0, "idiot", "ID000"), ("other", 0, "pathetic", "x-pathetic")]
+    return spark.createDataFrame([(c, o, f, t, f"{c}:{k + 1:04d}") for k, (c, o, f, t) in enumerate(rows)], "category string, entry_ord int, from string, to string, id string")
+
+
+@query(f"select file_rel, \"from\" as match, ((length(text) - length(replace(text, \"from\", ''))) // length(\"from\"))::bigint as n_hits from ({sql.DOC_SEGMENTS}), {_WORDS} where position(\"from\" in \"to\") = 0 and position(\"from\" in text) > 0")
+def regression_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Map values that stand in a text as they are, without those that their own placeholder holds."""
+    smap = _words(spark)
+    keys = [r["from"] for r in smap.join(submap.supersets(smap).select("from"), "from", "left_anti").select("from").collect()]
+    return verify.literal_hits(doc_segments(spark, sf_dir), keys).groupBy("file_rel", "match").agg(F.count("*").alias("n_hits"))
+
+
+@query('select p_partkey, p_name as "from", p_name || \'-\' || p_brand as "to" from part where p_partkey % 3 = 0')
+def superset_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    to = F.when(F.col("p_partkey") % 3 == 0, F.concat_ws("-", "p_name", "p_brand")).otherwise(F.concat(F.lit("Vendor"), "p_partkey"))
+    return submap.supersets(table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("from"), to.alias("to")))
+
+
+@query(
+    "with v as (select distinct case when c_custkey % 3 = 0 then upper(c_name) when c_custkey % 3 = 1 then lower(c_name) else c_name end as value, c_custkey from customer)"
+    " select value, 'brand' as category, case when value = upper(value) then upper('Vendor ' || c_custkey) when value = lower(value) then lower('Vendor ' || c_custkey) else 'Vendor ' || c_custkey end as placeholder from v"
+)
+def derive_for_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values found in another case take the map's placeholder in that case."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    smap = c.select(F.lit("brand").alias("category"), k.cast("int").alias("entry_ord"), F.col("c_name").alias("from"), F.concat(F.lit("Vendor "), k).alias("to"), F.concat(F.lit("brand:"), k).alias("id"))
+    hits = c.select(F.when(k % 3 == 0, F.upper("c_name")).when(k % 3 == 1, F.lower("c_name")).otherwise(F.col("c_name")).alias("match"))
+    return verify.derive(hits, smap)
+
+
+@query()
+def auto_resolve_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words mapped in one case only; the loop adds the other cases until none is left."""
+    smap = _words(spark).where("category = 'ids'").withColumn("from", F.initcap("from"))
+    _, grown, hits = verify.auto_resolve(doc_segments(spark, sf_dir), smap, 2)
+    return grown.select("category", "from", "to", "id").join(hits.agg(F.count("*").alias("n_hits_left")))
