@@ -7,6 +7,7 @@ import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: invisible characters that normalisation deletes.
 ZERO_WIDTH = "[​-‏‪-‮⁠﻿]"
@@ -17,7 +18,7 @@ def strip_zero_width(text: Column) -> Column:
     return F.regexp_replace(text, ZERO_WIDTH, "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape_nfkc(texts):
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", html.unescape(t)))
 
