@@ -25,6 +25,8 @@ SAMPLE_CHARS = 600
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 EPOCHS = 5
+#: Steps that training takes at least, over however many rows.
+LEAST_STEPS = 300
 #: Accuracy that texts which are not rejected reach on the calibration part.
 ACCEPTED_ACCURACY = 0.995
 _BLOCK = 1 << 19
@@ -104,11 +106,13 @@ def train(texts: list[str], langs: list[str], *, buckets: int = BUCKETS, dimensi
         starts = np.cumsum([0, *(len(bags[i][0]) for i in part[:-1])])
         return ids, share, owner, np.add.reduceat(emb[ids] * share[:, None], starts)
 
-    steps = max(1, epochs * -(-len(fit) // 64))
+    each = -(-len(fit) // 64)
+    steps = max(epochs * each, LEAST_STEPS)
     step = 0
-    for _ in range(epochs):
+    for _ in range(-(-steps // each)):
+        mixed = rng.permutation(fit)
         for at in range(0, len(fit), 64):
-            part = rng.permutation(fit)[:64] if at == 0 else fit[at : at + 64]
+            part = mixed[at : at + 64]
             ids, share, owner, mean = means(part)
             g = _softmax(mean @ weights + bias)
             g[np.arange(len(part)), y[part]] -= 1
