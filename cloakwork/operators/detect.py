@@ -70,6 +70,19 @@ def with_placeholders(cands: DataFrame, known: DataFrame | None = None) -> DataF
     return keyed.join(numbers, ["bucket", "key"]).withColumn("placeholder", placeholders.resolve(F.col("strategy"), F.col("value"), F.col("n")))
 
 
+def with_templates(cands: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """Placeholders of rules that have a template instead of a strategy: ``{n}``, ``{zeros}`` and ``{value}`` are filled in.
+
+    A rule with neither leaves the value as it is.
+    """
+    filled = F.col("placeholder")
+    for r in rules:
+        if not r.strategy:
+            made = F.replace(F.replace(F.replace(F.lit(r.template or "{value}"), F.lit("{n}"), F.col("n").cast("string")), F.lit("{zeros}"), F.repeat(F.lit("0"), F.length("value"))), F.lit("{value}"), F.col("value"))
+            filled = F.when(F.col("rule") == r.name, made).otherwise(filled)
+    return cands.withColumn("placeholder", filled)
+
+
 def detect(segments: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, safe: DataFrame | None = None, mapped: DataFrame | None = None) -> DataFrame:
     """Occurrences after all filters, in their order: allow lists, known values, safe terms, first rule wins."""
     occ = occurrences(segments, rules)

@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 
 from cloakwork.functions import matching
 from cloakwork.operators import detect
-from cloakwork.rules import DEFAULT_RULES
+from cloakwork.rules import DEFAULT_RULES, Rule
 from pyspark.sql import functions as F
 
 SEG = "file_rel string, seg_ord int, seg_id string, text string"
@@ -19,7 +19,7 @@ SAMPLES = {
     "italian_mobile": ("call +39 344 0405580 now", "call +39 344 0000001 now"),
     "bare_it_mobile": ("call 3440405580 now", "call 3440000001 now"),
     "e164_generic": ("call +447700900123 now", "call +447700000001 now"),
-    "intl_phone_separated": ("call +44 7700 900123 now", "call +33 1 70 00 00 03 now"),
+    "intl_phone_separated": ("call +44 7711 912345 now", "call +33 1 70 00 00 03 now"),
     "real_ipv4": ("at 93.184.216.34.", "at 10.1.2.3."),
 }
 
@@ -57,3 +57,10 @@ def test_one_phone_in_three_spellings_has_one_index(spark):
     seg = spark.createDataFrame([("a", 0, "0", "+39 344 0405580"), ("b", 0, "0", "3440405580"), ("c", 0, "0", "393440405580")], SEG)
     rows = detect.with_placeholders(detect.candidates(detect.detect(seg))).collect()
     assert {r.value: r.placeholder for r in rows} == {"+39 344 0405580": "+39 344 0000001", "3440405580": "3440000001", "393440405580": "344000000001"}
+
+
+def test_templates(spark):
+    rules = (Rule("code", "ids", r"C-\d+", "", "X{n}-{zeros}"), Rule("plain", "ids", r"P-\d+"))
+    seg = spark.createDataFrame([("a", 0, "0", "C-12 C-3 P-1")], SEG)
+    rows = detect.with_templates(detect.with_placeholders(detect.candidates(detect.detect(seg, rules))), rules).collect()
+    assert {r.value: r.placeholder for r in rows} == {"C-12": "X1-0000", "C-3": "X2-000", "P-1": "P-1"}
