@@ -5,9 +5,11 @@ is cut into segments whose number depends on a band of set sizes: two sets of
 a band with the wanted similarity differ in at most H elements, so with exact
 segments (weight 1) and segments with one-deletion neighbourhoods (weight 2)
 whose weights sum to H + 1, they agree on an exact segment or differ by one
-element at most on a neighbourhood segment.  How many segments of each kind a
-band gets is the cheaper choice of a cost model over signatures sent and
-candidates expected.  Every candidate is verified exactly on its words.
+element at most on a neighbourhood segment.  With E more exact segments, a set
+leaves out those of very few elements (weight 0), which many sets share, as
+long as it has no more than E of them.  How many segments of each kind a band
+gets is the cheapest choice of a cost model over signatures sent and candidates
+expected.  Every candidate is verified exactly on its words.
 
 Equal sets are one node.  A map task sends a signature that many of its sets
 share once, with the first as pivot; so does an owner across tasks.  Round one
@@ -36,7 +38,9 @@ from .bpe import Recent
 from .common import cut, sub_batches
 
 #: Chance, in the cost model, that a set holds an n-gram of another one by accident.
-SHARED = 0.1
+SHARED = 0.05
+#: A plan sends at most so many times the signatures of the plan that sends fewest.
+MOST_SENT = 1.5
 #: Cost of one verified candidate in signatures.
 VERIFY_COST = 2.0
 #: Longs of the parity sketch.
@@ -107,6 +111,8 @@ class Band:
     partner: int  # largest size that links with a set of the band
     exact: int  # segments that must agree
     near: int  # segments that may differ by one element
+    weak: int  # exact segments of so few elements are left out ...
+    spare: int  # ... by a set that has no more than this many of them
 
 
 class Bands:
@@ -119,9 +125,8 @@ class Bands:
         while low <= max(1, largest):
             high = math.floor(low / similarity)
             partner = math.floor(high / similarity)
-            apart = self.apart(high, partner)
-            near = self._allocate(apart, (low + high) / 2, (rows or {}).get(len(self.bands), 1))
-            self.bands.append(Band(low, high, partner, max(0, apart + 1 - 2 * near), near))
+            plan = self._allocate(self.apart(high, partner), (low + high) / 2, (rows or {}).get(len(self.bands), 1))
+            self.bands.append(Band(low, high, partner, *plan))
             low = high + 1
         self.lows = np.array([b.low for b in self.bands])
 
@@ -130,17 +135,32 @@ class Bands:
         return math.floor((1 - self.t) * (x + y) / (1 + self.t))
 
     @staticmethod
-    def _allocate(apart: int, size: float, rows: int) -> int:
-        """Neighbourhood segments of the cheapest plan for sets that differ in at most ``apart`` elements."""
-
-        def cost(near: int) -> float:
-            exact = max(0, apart + 1 - 2 * near)
-            each = size / (exact + near)
-            sent = exact + near * (1 + each)
-            met = exact * SHARED**each + near * (1 + each) * SHARED ** max(0.0, each - 1)
-            return sent + VERIFY_COST * rows * met
-
-        return min(range((apart + 2) // 2 + 1), key=lambda near: (cost(near), near)) if apart else 0
+    def _allocate(apart: int, size: float, rows: int) -> tuple[int, int, int, int]:
+        """(exact, near, weak, spare) of the cheapest plan for sets that differ in at most ``apart`` elements.
+
+        Linked sets agree on segments of weight exact + 2 near - apart = spare + 1
+        or more; if one of them has at most ``spare`` weak segments, a stronger
+        one is among those.
+        """
+        plans = []
+        for near in {0, (apart + 1) // 2} if apart else {0}:
+            for weak in range(-1, 4):
+                spare, exact = 0, max(0, apart + 1 - 2 * near)
+                for _ in range(60):  # more segments are smaller, and more of them weak
+                    each = size / (exact + near)
+                    share = [math.exp(k * math.log(each) - each - math.lgamma(k + 1)) for k in range(60)]
+                    lost = exact * sum(share[: weak + 1])
+                    if (enough := math.ceil(lost + 3 * math.sqrt(lost)) if weak >= 0 else 0) <= spare:
+                        break
+                    spare, exact = enough, max(0, apart + 1 + enough - 2 * near)
+                else:
+                    continue
+                sent = exact - lost + near * (1 + each)
+                alone = math.exp(-each * (1 - SHARED))  # the other set's segment holds nothing else
+                met = exact * alone * sum(s * SHARED**k for k, s in enumerate(share) if k > weak) + near * (1 + each) * alone * SHARED ** max(0.0, each - 1)
+                plans.append((sent + VERIFY_COST * rows * met, sent, (exact, near, weak, spare)))
+        fewest = min(sent for _, sent, _ in plans)
+        return min((cost, plan) for cost, sent, plan in plans if sent <= MOST_SENT * fewest)[1]
 
     def of(self, size: int) -> list[int]:
         """Bands whose signatures a set of this size sends: its own, and the one below where it can be the larger partner."""
@@ -160,7 +180,9 @@ def signatures(shingles: np.ndarray, bands: Bands) -> np.ndarray:
         edges = np.concatenate([[0], edges, [len(shingles)]])
         place = (np.arange(parts, dtype=np.uint64) + np.uint64(k << 32)) * _K3
         whole = sums[edges[1:]] - sums[edges[:-1]]
-        out.append(_mix(whole * _K1 + place))
+        sent = _mix(whole * _K1 + place)
+        weak = np.flatnonzero(np.diff(edges)[: band.exact] <= band.weak)
+        out.append(np.delete(sent, weak) if len(weak) <= band.spare else sent)
         for p in range(band.exact, parts):  # neighbourhoods: the segment less any one element
             out.append(_mix((whole[p] - mixed[edges[p] : edges[p + 1]]) * _K1 + place[p]))
     return np.unique(np.concatenate(out))
@@ -191,10 +213,15 @@ def _groups(order_sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[:-1][longer], edges[1:][longer]
 
 
+_PACK = ("bucket", "kind", "sigs", "names", "pivots", "members")
+_PACK_TYPES = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+
+
 def _shared_signatures(rows: DataFrame, n: int, bands: Bands, owners: int) -> DataFrame:
     """(sig, pivot, member) for each set that shares a signature with an earlier one; names of sets.
 
-    Signatures travel packed, one row for each owner bucket and batch.
+    Signatures travel packed, one row for each owner bucket and batch: their
+    sorted hashes, and the places of their sets in the batch's list of names.
     """
     buckets = 4 * owners
     width = (1 << 64) // buckets + 1
@@ -210,18 +237,25 @@ def _shared_signatures(rows: DataFrame, n: int, bands: Bands, owners: int) -> Da
                 if not sets:
                     continue
                 each = [signatures(s, bands) for s in sets.values()]
-                names = np.repeat(np.fromiter(sets, np.int64, len(sets)), [len(x) for x in each])
+                table = np.sort(np.fromiter(sets, np.int64, len(sets)))
+                small = np.uint16 if len(table) <= 1 << 16 else np.uint32
+                place = np.repeat(np.searchsorted(table, np.fromiter(sets, np.int64, len(sets))).astype(small), [len(x) for x in each])
                 sigs = np.concatenate(each)
-                order = np.lexsort((names, sigs))
-                sigs, names = sigs[order], names[order]
+                order = np.lexsort((place, sigs))
+                sigs, place = sigs[order], place[order]
                 first = np.concatenate([[True], sigs[1:] != sigs[:-1]])
-                pivots = names[first][np.cumsum(first) - 1]
+                pivots = place[first][np.cumsum(first) - 1]
                 for kind, keep in ((0, first), (1, ~first)):
-                    s, p, m = sigs[keep], pivots[keep], names[keep]
+                    s, p, m = sigs[keep], pivots[keep], place[keep]
                     cuts = np.searchsorted(s // np.uint64(width), np.arange(buckets + 1, dtype=np.uint64)).tolist()
-                    full = [(b, i, j) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if j > i]
-                    if full:
-                        yield pa.RecordBatch.from_pydict({"bucket": pa.array([b for b, _, _ in full], pa.int32()), "kind": pa.array([kind] * len(full), pa.int32()), "sigs": pa.array([s[i:j].tobytes() for _, i, j in full], pa.binary()), "pivots": pa.array([p[i:j].tobytes() for _, i, j in full], pa.binary()), "members": pa.array([m[i:j].tobytes() if kind else b"" for _, i, j in full], pa.binary())})
+                    rows = []
+                    for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                        if j > i:
+                            used = np.unique(np.concatenate([p[i:j], m[i:j]]) if kind else p[i:j])
+                            at = [np.searchsorted(used, x).astype(small).tobytes() for x in ((p[i:j], m[i:j]) if kind else (p[i:j],))]
+                            rows.append((b, kind, s[i:j].tobytes(), table[used].tobytes(), at[0], at[1] if kind else b""))
+                    if rows:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _PACK_TYPES, strict=True)], names=list(_PACK))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -247,23 +281,39 @@ def _shared_signatures(rows: DataFrame, n: int, bands: Bands, owners: int) -> Da
             return rows_of(s[~first], pivots[~first], p[~first])
 
         for batch in batches:
-            for b, kind, s, p, m in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "sigs", "pivots", "members")), strict=True):
+            for b, kind, s, table, p, m in zip(*(batch.column(c).to_pylist() for c in _PACK), strict=True):
                 if b != at:
                     if (out := close()) is not None:
                         yield out
                     at = b
-                s, p = np.frombuffer(s, np.uint64), np.frombuffer(p, np.int64)
+                s, table = np.frombuffer(s, np.uint64), np.frombuffer(table, np.int64)
+                small = np.uint16 if len(p) == 2 * len(s) else np.uint32
+                p = table[np.frombuffer(p, small)]
                 if kind:
-                    yield rows_of(s, p, np.frombuffer(m, np.int64))
+                    yield rows_of(s, p, table[np.frombuffer(m, small)])
                 else:
                     held.append((s, p))
         if (out := close()) is not None:
             yield out
 
-    packed = rows.select("text").mapInArrow(send, "bucket int, kind int, sigs binary, pivots binary, members binary")
+    packed = rows.select("text").mapInArrow(send, "bucket int, kind int, sigs binary, names binary, pivots binary, members binary")
     return packed.repartition(owners, "bucket").sortWithinPartitions("bucket").mapInArrow(own, "sig long, pivot long, member long")
 
 
+_SKETCH = [f"k{i}" for i in range(SKETCH)]
+
+
+def _can_link(t: Fraction):
+    """Of sets with columns x_n, x_k*, y_n, y_k*: not ruled out by sizes, or by sketches that differ in too many bits."""
+    differ = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in _SKETCH[1:]), F.bit_count(F.col("x_k0").bitwiseXOR(F.col("y_k0"))))
+    sizes = t.denominator * F.least("x_n", "y_n") >= t.numerator * F.greatest("x_n", "y_n")
+    return sizes & ((t.denominator + t.numerator) * differ <= (t.denominator - t.numerator) * (F.col("x_n") + F.col("y_n")))
+
+
+def _facts(names: DataFrame, side: str, key: str) -> DataFrame:
+    return names.select(F.col("set_id").alias(key), *(F.col(c).alias(f"{side}_{c}") for c in ("n", *_SKETCH)))
+
+
 def _verify(pairs: DataFrame, names: DataFrame, rows: DataFrame, n: int, t: Fraction) -> DataFrame:
     """Of ``pairs`` (a, b: names of sets) those that link, checked on the words themselves.
 
@@ -338,8 +388,7 @@ def link_documents(docs: DataFrame, *, n: int = 3, similarity: Fraction = Fracti
     owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
     thin = cut(_describe(rows, n))
     filled = thin.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    sketch = [f"k{i}" for i in range(SKETCH)]
-    names = cut(filled.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"), *(F.max(c).alias(c) for c in sketch)))
+    names = cut(filled.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"), *(F.max(c).alias(c) for c in _SKETCH)))
     largest = names.agg(F.max("n")).head()[0] or 1
     bands = Bands(t, largest)
     edges = F.lit(-1)
@@ -350,10 +399,8 @@ def link_documents(docs: DataFrame, *, n: int = 3, similarity: Fraction = Fracti
     shared = cut(_shared_signatures(rows.where(F.col("doc_id").isNotNull()), n, bands, owners))
 
     stars = shared.select(F.col("pivot").alias("a"), F.col("member").alias("b")).distinct()
-    sizes = names.select("set_id", "n")
-    sized = stars.join(sizes.select(F.col("set_id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("set_id").alias("b"), F.col("n").alias("nb")), "b")
-    fits = t.denominator * F.least("na", "nb") >= t.numerator * F.greatest("na", "nb")
-    links = cut(_verify(sized.where(fits).select("a", "b"), names, rows, n, t))
+    stars = cut(stars.join(_facts(names, "x", "a"), "a").join(_facts(names, "y", "b"), "b").where(_can_link(t)).select("a", "b"))
+    links = cut(_verify(stars, names, rows, n, t))
     labels = components(links)
 
     members = shared.select("sig", F.col("member").alias("node")).unionByName(shared.select("sig", F.col("pivot").alias("node"))).distinct()
@@ -362,14 +409,10 @@ def link_documents(docs: DataFrame, *, n: int = 3, similarity: Fraction = Fracti
     per_label = labelled.join(split, "sig").groupBy("sig", "label").count()
     main = per_label.groupBy("sig").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
     open_ = labelled.join(main, "sig")
-    facts = names.select(F.col("set_id").alias("node"), "n", *sketch)
-    side = open_.join(facts, "node")
-    left = side.where("label <> main").select("sig", *(F.col(c).alias(f"x_{c}") for c in ("node", "label", "n", *sketch)))
-    right = side.select("sig", "main", *(F.col(c).alias(f"y_{c}") for c in ("node", "label", "n", *sketch)))
-    differ = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in sketch[1:]), F.bit_count(F.col("x_k0").bitwiseXOR(F.col("y_k0"))))
-    near = (t.denominator * F.least("x_n", "y_n") >= t.numerator * F.greatest("x_n", "y_n")) & ((t.denominator + t.numerator) * differ <= (t.denominator - t.numerator) * (F.col("x_n") + F.col("y_n")))
+    left = open_.where("label <> main").select("sig", F.col("node").alias("x_node"), F.col("label").alias("x_label")).join(_facts(names, "x", "x_node"), "x_node")
+    right = open_.select("sig", "main", F.col("node").alias("y_node"), F.col("label").alias("y_label")).join(_facts(names, "y", "y_node"), "y_node")
     once = (F.col("y_label") == F.col("main")) | (F.col("x_node") < F.col("y_node"))
-    across = left.join(right, "sig").where((F.col("x_label") != F.col("y_label")) & once & near)
+    across = left.join(right, "sig").where((F.col("x_label") != F.col("y_label")) & once & _can_link(t))
     pairs = across.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     pairs = cut(pairs)
     if pairs.limit(1).count():

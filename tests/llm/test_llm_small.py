@@ -490,6 +490,7 @@ def test_components_equal_brute_force(spark, n, t):
 
 def test_neighbourhood_segments_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "VERIFY_COST", 1e9)
+    monkeypatch.setattr(ngram_join, "MOST_SENT", 100)
     assert any(b.near for b in ngram_join.Bands(Fraction(4, 5), 60, {k: 100 for k in range(30)}).bands)
     rows = near_copies(7, 150)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string"), n=3, similarity=Fraction(4, 5)).collect()}
