@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
@@ -32,9 +33,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
+    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+
+    Shuffle files of plans that nothing refers to any more are given back at
+    once: Spark's cleaner waits for the driver to collect its garbage.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    out.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def fresh(df: DataFrame, stem: str) -> str:
@@ -82,3 +91,16 @@ def sub_batches(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20
         held += n
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def bounded_sample(df: DataFrame, key: str, most: int, rows: int) -> DataFrame:
+    """At most ``most`` rows of ``df``, those with the smallest hashes of ``key``.
+
+    ``rows`` is (about) how many rows there are.  Rows whose hash lies beyond
+    the share that is needed, with room to spare, are dropped where they are
+    read, so tasks send some three times ``most`` rows in all, not each so many.
+    """
+    span = 1 << 40
+    place = F.pmod(F.xxhash64(key), F.lit(span))
+    share = 1.0 if rows <= 3 * most else 3 * most / rows
+    return df.where(place < int(share * span)).orderBy(place, key).limit(most)
