@@ -47,6 +47,10 @@ VERIFY_COST = 2.0
 SKETCH = 16
 #: Members that one task verifies against a pivot.
 PER_SALT = 256
+#: Up to so many pairs, the list of wanted texts (some 40 bytes each) goes to every task, and only those texts are shuffled.
+LISTED_PAIRS = 100_000
+#: Rows of an Arrow batch while the join runs; texts may be long.
+BATCH_ROWS = 512
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -325,7 +329,8 @@ def _verify(pairs: DataFrame, names: DataFrame, rows: DataFrame, n: int, t: Frac
     heads = many.select("a", F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
     wanted = heads.select("a", "salt", "role", "node").unionByName(salted.select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("node")))
     placed = wanted.join(names.select(F.col("set_id").alias("node"), "doc_id"), "node")
-    texts = placed.join(rows, "doc_id").select("a", "salt", "role", "node", "text")
+    listed = pairs.limit(LISTED_PAIRS + 1).count() <= LISTED_PAIRS
+    texts = rows.join(F.broadcast(placed) if listed else placed, "doc_id").select("a", "salt", "role", "node", "text")
     owners = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     num, den = t.numerator, t.denominator
 
@@ -333,7 +338,7 @@ def _verify(pairs: DataFrame, names: DataFrame, rows: DataFrame, n: int, t: Frac
         hasher = Hasher(n)
         key, head = None, None
         for whole in batches:
-            for batch in sub_batches(whole):
+            for batch in sub_batches(whole, most=2 << 20):
                 found: list[tuple[int, int]] = []
                 words = [split_words(x) for x in batch.column("text").to_pylist()]
                 right = [set_id(hasher.shingles(h)) for h in hasher.word_hashes(words)]  # an id may stand on several texts
@@ -383,8 +388,18 @@ def link_documents(docs: DataFrame, *, n: int = 3, similarity: Fraction = Fracti
     fall into one; an empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = _read(docs, id_col, text_col)
-    t = Fraction(similarity)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
+    try:
+        return _linked(_read(docs, id_col, text_col), n, Fraction(similarity))
+    finally:
+        spark.conf.set(setting, before)
+
+
+def _linked(rows: DataFrame, n: int, t: Fraction) -> DataFrame:
+    """All jobs with Python in them run here; what is returned reads checkpoints."""
+    spark = rows.sparkSession
     owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
     thin = cut(_describe(rows, n))
     filled = thin.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
