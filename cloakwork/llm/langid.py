@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, sub_batches
+from .common import bounded_sample, crc_bucket, sub_batches
 
 #: Rows that training takes at most, those with the smallest hashes of their ids, and characters of each.
 SAMPLE_ROWS = 4000
@@ -153,8 +153,9 @@ def identify(docs: DataFrame, *, hold_out: int = 4, held_remainder: int = 2, sam
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     bucket = crc_bucket("doc_id", hold_out)
-    usable = rows.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (bucket != held_remainder))
-    sample = usable.select("doc_id", "lang", F.substring("text", 1, sample_chars).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(sample_rows).collect()
+    open_ = rows.where(F.col("lang").isNotNull() & (bucket != held_remainder))
+    usable = open_.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", F.substring("text", 1, sample_chars).alias("text"))
+    sample = bounded_sample(usable, "doc_id", sample_rows, open_.count()).collect()
     model = train([r["text"] for r in sample], [r["lang"] for r in sample])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
