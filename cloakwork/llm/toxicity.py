@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Recent
-from .common import crc_bucket, fresh, text_view
+from .common import bounded_sample, crc_bucket, fresh, text_view
 
 #: Labelled documents of each class that training takes at most, those with the smallest hashes of their ids.
 SAMPLE_PER_CLASS = 4000
@@ -71,8 +71,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_
     """Term buckets and label of a bounded sample, both classes alike; duplicates and null labels are left out."""
     wanted = None
     thin = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    there = {r["toxic"]: r["count"] for r in thin.groupBy("toxic").count().collect()}  # two rows
     for value in (0, 1):
-        part = thin.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+        part = bounded_sample(thin.where(F.col("toxic") == value), "doc_id", per_class, there.get(value, 0))
         wanted = part if wanted is None else wanted.unionByName(part)
     rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")  # 2 x per_class rows at most
 
