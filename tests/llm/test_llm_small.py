@@ -447,6 +447,19 @@ def test_fences_equal_exact_quantiles(spark):
     assert {i for i, r in rows.items() if not r.kept} == {i for i in range(120) if i % 20 == 0}
 
 
+def test_fences_follow_groups_whose_quartiles_are_equal(spark):
+    """Most documents repeat nothing; the same repeat is common in one source and rare in the other."""
+
+    def text(i, repeats):
+        words = [f"w{i}x{k}" for k in range(50)]
+        return " ".join(words + words[: 5 * repeats]) if repeats else " ".join(words)
+
+    docs = [(1000 * g + i, text(i, int(i < (1, 20)[g])), "en", s) for g, s in enumerate("ab") for i in range(200)]
+    rows = quality.quality_verdicts(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()
+    assert not any(r.base_failed for r in rows) and sum(r.repeat_rate > 0.15 for r in rows) == 21
+    assert [r.doc_id for r in rows if not r.kept] == [0]
+
+
 # -- 10 ------------------------------------------------------------------------
 
 
