@@ -5,6 +5,10 @@ replaced by another value of the same format: its digits or letters go through
 a Feistel network keyed by a secret and tweaked by kind and length, separators
 stay where they are.  The map is a permutation of the format, so equal values
 stay equal across documents and different values of a kind stay different.
+
+A card or IBAN is also found beside other short groups (an expiry date, a
+check number, an upper-case word).  Undoing is exact unless a pseudonym and
+its neighbours happen to pass the check together.
 """
 
 from __future__ import annotations
@@ -195,11 +199,67 @@ _KINDS: list[tuple[str, re.Pattern, Callable[[Feistel, str, bool], str | None]]]
     ("phone", re.compile(r"(?<![\w+])\+\d{10,15}(?!\d)"), _phone),
     ("phone", re.compile(r"(?<![\w(])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\d)"), _phone),
 ]
+#: Where an IBAN may begin, and as many letters and digits behind its first four as one may have.
+_IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?= ?[A-Z0-9])")
+_IBAN_REST = re.compile(r"(?: ?[A-Z0-9]){1,30}")
+_GROUP = re.compile(r"\d+")
+_DIGIT_RUN = re.compile(r"\d+(?:[ -]\d+)+")
 _LOCAL = re.compile(r"[\w.+%-]{1,64}\Z")
 _DOMAIN = re.compile(r"@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,62})\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])")
 _DIGIT = re.compile(r"\d")
 
 
+def _ibans(text: str, pattern: re.Pattern, feistel: Feistel, back: bool) -> Iterator[tuple[int, int, str]]:
+    """Valid IBANs; where the longest reach of the pattern fails, every end at a border of letters and digits is tried, the longest first."""
+    last = 0
+    for at in _IBAN_START.finditer(text):
+        start = at.start()
+        if start < last:
+            continue
+        whole, rest = pattern.match(text, start), _IBAN_REST.match(text, at.end())
+        ends = [e for e in range(rest.end(), at.end(), -1) if text[e - 1] != " " and not (text[e : e + 1].isascii() and text[e : e + 1].isalnum())]
+        for end in ([whole.end()] if whole else []) + ends:
+            if (new := _iban(feistel, text[start:end], back)) is not None:
+                yield start, end, new
+                last = end
+                break
+
+
+def _cards_within(text: str, taken: list[tuple[int, int, str, str]], feistel: Feistel, back: bool) -> Iterator[tuple[int, int, str, str]]:
+    """Valid cards inside runs of digit groups that are no card as a whole, clear of ``taken``.
+
+    Every start and end at a border of groups is tried, from left to right and
+    the longest first.  Groups before the last have three digits at least, so
+    that lists of small numbers do not turn into cards.
+    """
+    starts = [s for s, _, _, _ in taken]
+    for run in _DIGIT_RUN.finditer(text):
+        if run.end() - run.start() < 14:
+            continue
+        groups = [(g.start(), g.end()) for g in _GROUP.finditer(text, run.start(), run.end())]
+        i = 0
+        while i < len(groups):
+            start, ends, held = groups[i][0], [], 0
+            at = bisect.bisect_right(starts, start)
+            limit = starts[at] if at < len(starts) else len(text)
+            if not at or taken[at - 1][1] <= start:
+                for k in range(i, len(groups)):
+                    a, end = groups[k]
+                    held += end - a
+                    if held > 19 or end > limit:
+                        break
+                    if held >= 13:
+                        ends.append((end, k))
+                    if end - a < 3:
+                        break
+            i += 1
+            for end, k in reversed(ends):
+                if (new := _card(feistel, text[start:end], back)) is not None:
+                    yield start, end, "card", new
+                    i = k + 1
+                    break
+
+
 def find_values(text: str, feistel: Feistel, back: bool = False) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, pseudonym) of validated values, without overlaps, by place; offsets in code points."""
     found: list[tuple[int, int, int, str, str]] = []
@@ -211,11 +271,12 @@ def find_values(text: str, feistel: Feistel, back: bool = False) -> list[tuple[i
         at = text.find("@", at + 1)
     if _DIGIT.search(text):
         for rank, (kind, pattern, swap) in enumerate(_KINDS):
+            if kind == "iban":
+                found += [(rank, start, end, kind, new) for start, end, new in _ibans(text, pattern, feistel, back)]
+                continue
             for m in pattern.finditer(text):
                 if (new := swap(feistel, m[0], back)) is not None:
                     found.append((rank, m.start(), m.end(), kind, new))
-    if len(found) < 2:
-        return [x[1:] for x in found]
     taken: list[tuple[int, int, str, str]] = []
     ends: list[int] = []
     starts: list[int] = []
@@ -226,6 +287,8 @@ def find_values(text: str, feistel: Feistel, back: bool = False) -> list[tuple[i
         starts.insert(i, start)
         ends.insert(i, end)
         taken.insert(i, (start, end, kind, new))
+    if more := list(_cards_within(text, taken, feistel, back)):
+        taken = sorted(taken + more)
     return taken
 
 

@@ -291,6 +291,24 @@ def test_what_is_not_valid_stays():
         assert pii.pseudonymise_text(text, KEY) == (text, [])
 
 
+@pytest.mark.parametrize("before,value,after", [
+    ("", "4111 1111 1111 1111", " 12/25"), ("", "4111 1111 1111 1111", " 123"), ("", "4111111111111111", " 123"), ("12 ", "4111 1111 1111 1111", ""),
+    ("12 34 5678 ", "4012-8888-8888-1881", " 99 7"), ("", "3782 822463 10005", " 1234"), ("", "4111 1111 1111 1111", " 2025-12-31"), ("7 8 9 ", "4111111111111111", " 415 555 1234"),
+    ("", "BE68 5390 0754 7034", " EUR"), ("", "AT61 1904 3002 3457 3201", " BIC"), ("DE12 ", "BE68 5390 0754 7034", " EUR 2024"), ("", "BE68539007547034", " EUR")])
+def test_values_beside_short_groups(before, value, after):
+    """The longest run around the value fails its check; the value alone passes."""
+    kind = "iban" if value[0].isalpha() else "card"
+    new, spans = pii.pseudonymise_text(before + value + after, KEY)
+    mine = [s for s in spans if s[2] == kind]
+    assert [(s, e) for s, e, _, _ in mine] == [(len(before), len(before + value))] and value not in new
+    assert mine[0][3] == pii.pseudonymise_text(value, KEY)[0]
+
+
+def test_lists_of_small_numbers_are_no_cards():
+    text = "see " + " ".join(str(i % 90 + 10) for i in range(300))
+    assert not list(pii._cards_within(text, [], KEY, False))
+
+
 @pytest.mark.parametrize("bound", [1, 2, 10, 97, 1000, 73_049])
 def test_feistel_is_a_permutation(bound):
     sample = range(min(bound, 2000))
