@@ -19,9 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, crc_bucket, sub_batches
 
-#: Rows that training takes at most, those with the smallest hashes of their ids, and characters of each.
+#: Rows that training takes at most, those with the smallest hashes of their ids.
 SAMPLE_ROWS = 4000
-SAMPLE_CHARS = 600
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 EPOCHS = 5
@@ -81,15 +80,28 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], langs: list[str], *, buckets: int = BUCKETS, dimensions: int = DIMENSIONS, epochs: int = EPOCHS, seed: int = 11, rate: float = 2.0) -> Model | None:
+def bag(text: str, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a whole text, in order, and how often each occurs; in blocks of bounded size."""
+    points = code_points(text)
+    counts = np.zeros(buckets, np.int64)
+    for at in range(0, len(points) - 2, _BLOCK):
+        for h in subwords(points[at : at + _BLOCK + 2], buckets):
+            counts += np.bincount(h, minlength=buckets)
+    ids = np.flatnonzero(counts)
+    return ids.astype(np.int32), counts[ids]
+
+
+def train(texts: list[str], langs: list[str], *, buckets: int = BUCKETS, **options) -> Model | None:
     """Fit on texts that have a letter; None without any."""
+    return train_bags([bag(t, buckets) for t in texts], langs, buckets=buckets, **options)
+
+
+def train_bags(bags: list[tuple[np.ndarray, np.ndarray]], langs: list[str], *, buckets: int = BUCKETS, dimensions: int = DIMENSIONS, epochs: int = EPOCHS, seed: int = 11, rate: float = 2.0) -> Model | None:
+    """Fit on the bags of texts that have a letter; None without any."""
     languages = sorted(set(langs))
     if not languages:
         return None
     y = np.array([languages.index(x) for x in langs])
-    bags = []
-    for text in texts:
-        bags.append(np.unique(np.concatenate(subwords(code_points(text), buckets)), return_counts=True))
     rng = np.random.default_rng(seed)
     k = len(languages)
     emb = rng.normal(0, 0.1, (buckets, dimensions))
@@ -136,13 +148,13 @@ def train(texts: list[str], langs: list[str], *, buckets: int = BUCKETS, dimensi
     return Model(languages, (emb @ weights).astype(np.float32), bias, temperature, threshold)
 
 
-def identify(docs: DataFrame, *, hold_out: int = 4, held_remainder: int = 2, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
+def identify(docs: DataFrame, *, hold_out: int = 4, held_remainder: int = 2, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Predict the language of every whole text.
 
     Learns from text and lang of at most ``sample_rows`` rows whose lang is not
     null and whose crc32 of the id, modulo ``hold_out``, is not
-    ``held_remainder``; of those it reads ``sample_chars`` characters.  Returns
-    doc_id, held_out, lang_pred, score (calibrated probability) and rejected
+    ``held_remainder``, whole texts, of which tasks send bags of buckets to the
+    driver, a bucket at most once for each row.  Returns doc_id, held_out, lang_pred, score (calibrated probability) and rejected
     (score under the calibrated threshold).
 
     A null text, or one without a letter, or any where nothing was learned, is
@@ -154,9 +166,18 @@ def identify(docs: DataFrame, *, hold_out: int = 4, held_remainder: int = 2, sam
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     bucket = crc_bucket("doc_id", hold_out)
     open_ = rows.where(F.col("lang").isNotNull() & (bucket != held_remainder))
-    usable = open_.where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", F.substring("text", 1, sample_chars).alias("text"))
-    sample = bounded_sample(usable, "doc_id", sample_rows, open_.count()).collect()
-    model = train([r["text"] for r in sample], [r["lang"] for r in sample])
+    usable = open_.where(F.col("text").rlike(r"\p{L}"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in sub_batches(whole):
+                bags = [bag(t) for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "ids": pa.array([i.astype(np.int32) for i, _ in bags], pa.list_(pa.int32())), "times": pa.array([n.astype(np.int32) for _, n in bags], pa.list_(pa.int32()))})
+
+    wanted = bounded_sample(usable.select("doc_id"), "doc_id", sample_rows, open_.count()).distinct()
+    bags = usable.join(F.broadcast(wanted), "doc_id").select("doc_id", "lang", "text").mapInArrow(hashed, "doc_id long, lang string, ids array<int>, times array<int>")
+    sample = bounded_sample(bags, "doc_id", sample_rows, 0).select("lang", "ids", "times").toArrow()
+    model = train_bags([(i.values.to_numpy(), n.values.to_numpy()) for i, n in zip(sample.column("ids"), sample.column("times"), strict=True)], sample.column("lang").to_pylist())
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

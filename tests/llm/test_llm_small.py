@@ -100,6 +100,22 @@ def test_language_without_letters(odd):
     assert langid.identify(odd.limit(0)).count() == 0
 
 
+def test_language_is_learned_from_whole_texts(spark):
+    """What tells the languages apart lies beyond the first thousand characters; some texts begin with a thousand digits."""
+    rng = random.Random(5)
+    said = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(300))
+    rows = [(i, ("same words " * 100, "1 " * 1000)[i // 2 % 2] + said("abcd" if i % 2 else "efgh"), "x" if i % 2 else "y") for i in range(400)]
+    done = langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("held_out").collect()
+    assert done and all(r.lang_pred == "yx"[r.doc_id % 2] for r in done)
+
+
+def test_bags_of_long_texts(monkeypatch):
+    text = "ab Üc " * 50
+    whole = np.unique(np.concatenate(langid.subwords(langid.code_points(text), langid.BUCKETS)), return_counts=True)
+    monkeypatch.setattr(langid, "_BLOCK", 7)
+    assert all((a == b).all() for a, b in zip(langid.bag(text), whole, strict=True))
+
+
 def test_language_scores_are_calibrated():
     rng = random.Random(2)
     texts = ["".join(rng.choice("abc" if k % 2 else "cde") for _ in range(12)) for k in range(400)]
