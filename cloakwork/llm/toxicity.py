@@ -184,8 +184,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, hold_out: int = 5, threshold
     return scored.select("doc_id", F.coalesce(crc_bucket("doc_id", hold_out) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def remove_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, hold_out: int = 5) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score is under ``threshold``; no row moves."""
+def remove_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, hold_out: int = 5, keep_unlearned: bool = False) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is under ``threshold``; no row moves.
+
+    Where nothing was learned (no rows of both classes, or no telling term) every
+    score is the share of toxic labels, 0.5 without any, so that all rows may
+    go; with ``keep_unlearned`` such a model removes nothing.
+    """
     model = fit(docs, labels, hold_out=hold_out)
+    if keep_unlearned and not len(model.buckets):
+        return docs
     score = fresh(docs, "score")
     return docs.withColumn(score, score_column(docs, model)).where(F.col(score) < threshold).drop(score)

@@ -37,6 +37,14 @@ def test_stages(spark, tmp_path):
         before = after
 
 
+def test_nothing_is_dropped_where_nothing_is_learned(spark, tmp_path):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{n}.parquet") for n in ("documents", "labels"))
+    for name, some in (("none", labels.limit(0)), ("clean", labels.where("toxic = 0")), ("toxic", labels.where("toxic = 1"))):
+        some.write.parquet(str(tmp_path / name / "labels.parquet"))
+        kept = corpus_pipeline.drop_toxic(spark, docs, str(tmp_path / name))
+        assert kept.columns == docs.columns and kept.count() == docs.count()
+
+
 def test_queries_run(spark):
     for name, f in queries.queries().items():
         assert f(spark, SMALL).count() > 0, name
