@@ -2,7 +2,8 @@
 
 Terms are a text's distinct lower-case words and their beginnings of four to
 six letters, hashed into buckets.  Buckets that toxic documents of the sample
-hold clearly more often (chi-square) are the machine's features.  Besides a
+hold clearly more or less often (chi-square), and buckets of pairs that tell
+more together than each alone, are the machine's features.  Besides a
 weight each feature has a short vector; the dot product of two vectors is the
 weight of the pair, so that an insult beside a mention of a group counts more
 than the two alone.  Trained in numpy with Adam on a bounded sample.
@@ -28,9 +29,12 @@ SAMPLE_PER_CLASS = 4000
 BUCKETS = 1 << 20
 FEATURES = 8192
 FACTORS = 8
-#: Chi-square that a feature reaches at least: this, and this share of the sample's rows.
+#: Chi-square that a feature reaches at least, over samples of any size, and that the interaction of a pair does.
 LEAST_CHI2 = 15.0
-LEAST_PHI2 = 0.0075
+LEAST_PAIR_CHI2 = 40.0
+#: Most frequent buckets of which pairs are looked at, and rows that each of a pair's four cells holds at least.
+PAIR_TERMS = 1024
+PAIR_ROWS = 8
 EPOCHS = 12
 _TRIM = b".,;:!?\"'()[]{}<>*#$%&|-_=+~/\\"
 _STEMS = (4, 5, 6)
@@ -89,6 +93,33 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_
     return list(zip(lists, table.column("toxic").to_pylist(), strict=True))
 
 
+def paired(sample: list[tuple[np.ndarray, int]], seen: np.ndarray) -> np.ndarray:
+    """Evidence of each bucket's best pair: how far the share of toxic rows with both is from what each alone adds, as a chi-square."""
+    often = np.argsort(-seen, kind="stable")[:PAIR_TERMS]
+    often = often[(seen[often] >= 2 * PAIR_ROWS) & (seen[often] < len(sample))]
+    place = np.full(len(seen), -1)
+    place[often] = np.arange(len(often))
+    held = np.zeros((len(sample), len(often)), np.float32)
+    for row, (terms, _) in zip(held, sample, strict=True):
+        row[(p := place[terms])[p >= 0]] = 1
+    y = np.array([label for _, label in sample], np.float32)
+    gain, spread, there = 0.0, 0.0, True
+    for rows, toxic, sign in zip(_cells(held, None), _cells(held, y), (1, -1, -1, 1), strict=True):
+        share = (toxic + 0.5) / (rows + 1)
+        gain, spread, there = gain + sign * share, spread + share * (1 - share) / (rows + 1), there & (rows >= PAIR_ROWS)
+    out = np.zeros(len(seen))
+    if len(often):
+        out[often] = np.where(there, gain * gain / spread, 0.0).max(axis=1)
+    return out
+
+
+def _cells(held: np.ndarray, y: np.ndarray | None) -> list[np.ndarray]:
+    """For each pair of columns, rows with both, the first, the second and neither; of rows where ``y`` is 1 if given."""
+    part = held if y is None else held[y > 0]
+    both, one = part.T @ part, part.sum(axis=0)
+    return [both, one[:, None] - both, one[None, :] - both, len(part) - one[:, None] - one[None, :] + both]
+
+
 def train(sample: list[tuple[np.ndarray, int]], *, buckets: int = BUCKETS, features: int = FEATURES, factors: int = FACTORS, epochs: int = EPOCHS, seed: int = 7) -> Model:
     """Fit the machine; without rows of both classes it knows the share of toxic rows alone."""
     y = np.array([label for _, label in sample], np.float64)
@@ -103,9 +134,10 @@ def train(sample: list[tuple[np.ndarray, int]], *, buckets: int = BUCKETS, featu
     n = n1 + n0
     with np.errstate(divide="ignore", invalid="ignore"):
         chi2 = n * (c1 * (n0 - c0) - c0 * (n1 - c1)) ** 2 / (seen * (n - seen) * n1 * n0)
-    chi2 = np.where((seen > 0) & (seen < n) & (c1 * n0 > c0 * n1), np.nan_to_num(chi2), 0.0)
-    chosen = np.sort(np.argsort(-chi2, kind="stable")[:features])
-    chosen = chosen[chi2[chosen] >= max(LEAST_CHI2, LEAST_PHI2 * n)]
+    chi2 = np.where((seen > 0) & (seen < n), np.nan_to_num(chi2), 0.0)
+    worth = np.maximum(chi2 / LEAST_CHI2, paired(sample, seen) / LEAST_PAIR_CHI2)
+    chosen = np.sort(np.argsort(-worth, kind="stable")[:features])
+    chosen = chosen[worth[chosen] >= 1]
     if not len(chosen):
         return empty
     place = np.full(buckets, -1)

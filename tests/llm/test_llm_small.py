@@ -139,6 +139,22 @@ def test_toxicity_learns_pairs():
     assert sum(s == bool(y) for s, (_, y) in zip(said, rows[1000:], strict=True)) >= 0.95 * 500
 
 
+def test_toxicity_features_beyond_frequent_insults():
+    """A rare insult in a large sample, a context that makes an insult harmless, and two words that tell only together."""
+    rng = random.Random(6)
+    texts = []
+    for i in range(6000):
+        insult, context = rng.random() < 0.2, rng.random() < 0.3
+        rare, one, two = i % 200 == 0, *(rng.random() < 0.5 for _ in "ab")
+        words = ["insult"] * insult + ["quotation"] * context + ["scoundrel"] * rare + ["left"] * one + ["right"] * two + [f"w{rng.randint(0, 300)}" for _ in range(6)]
+        texts.append((" ".join(words), int(rare or insult and not context or one == two)))
+    model = toxicity.train([(np.array(toxicity.text_terms(t)), y) for t, y in texts])
+    place = {int(b): i for i, b in enumerate(model.buckets)}
+    score = lambda t: model.logit([place[b] for b in toxicity.text_terms(t) if b in place])
+    assert {b for w in (b"scoundrel", b"left", b"right") for b in toxicity.word_buckets(w)} <= place.keys()
+    assert score("left right") > 0 > score("left") and score("left scoundrel") > 0 > score("left quotation insult")
+
+
 def test_toxicity_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
