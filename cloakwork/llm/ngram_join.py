@@ -14,10 +14,14 @@ expected.  Every candidate is verified exactly on its words.
 Equal sets are one node.  A map task sends a signature that many of its sets
 share once, with the first as pivot; so does an owner across tasks.  Round one
 verifies pivots against their members and finds components.  Round two takes
-the signatures whose members are still in several components and verifies
-pairs across components, less those that a parity sketch rules out: its Hamming
-distance never exceeds the sets' difference.  After it, any two sets that
-share a signature are verified, ruled out exactly, or connected already.
+the signatures whose members are still in several components.  Sets that share
+many signatures have the same largest component beside them, so signatures
+meet by that component, each set once with all its signatures there: a pair is
+looked at once and not once for each signature it shares.  Large meetings are
+dealt to tasks in blocks.  A parity sketch, whose bits grow with the set, rules
+pairs out: its Hamming distance never exceeds the sets' difference.  After it,
+any two sets that share a signature are verified, ruled out exactly, or
+connected already.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Recent
-from .common import cut, sub_batches
+from .common import arrow_map, cut, fresh, sub_batches
 
 #: Chance, in the cost model, that a set holds an n-gram of another one by accident.
 SHARED = 0.05
@@ -43,8 +47,12 @@ SHARED = 0.05
 MOST_SENT = 1.5
 #: Cost of one verified candidate in signatures.
 VERIFY_COST = 2.0
-#: Longs of the parity sketch.
-SKETCH = 16
+#: Bits of the parity sketch: at least so many for each n-gram, at least so many in all; a power of two.
+SKETCH_BITS, LEAST_BITS = 2, 512
+#: Bytes of signatures and sketches that one task holds of a meeting in round two, more or less.
+BLOCK_BYTES = 4 << 20
+#: Pairs' sketches that are compared at a time, in bytes.
+COMPARED_BYTES = 16 << 20
 #: Members that one task verifies against a pivot.
 PER_SALT = 256
 #: Up to so many pairs, the list of wanted texts (some 40 bytes each) goes to every task, and only those texts are shuffled.
@@ -98,14 +106,46 @@ class Hasher:
         return np.unique(out)
 
 
-def set_id(shingles: np.ndarray) -> int:
-    """Signed 64-bit name of a set."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_names(shingles: np.ndarray, seed: int = 0) -> tuple[int, int]:
+    """Two signed 64-bit names of a set; the first one is its id, the second tells whether two sets share that."""
+    raw = hashlib.blake2b(shingles.tobytes(), digest_size=16, salt=seed.to_bytes(8, "little")).digest()
+    return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-def parity_sketch(shingles: np.ndarray) -> np.ndarray:
-    bits = np.bincount((_mix(shingles ^ _K3) & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+def parity_sketch(shingles: np.ndarray) -> bytes:
+    """Bit i tells whether the n-grams whose hash ends in i are odd in number.
+
+    Sketches of different lengths compare: folded in two by exclusive or, the
+    longer one is the shorter sketch of its set.
+    """
+    bits = max(LEAST_BITS, 1 << max(0, SKETCH_BITS * len(shingles) - 1).bit_length())
+    odd = np.bincount((_mix(shingles ^ _K3) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart_at_least(xs: list[bytes], ys: list[bytes]) -> np.ndarray:
+    """For each pair of sketches, the bits that differ: a lower bound of the sets' difference."""
+    out = np.zeros(len(xs), np.int64)
+    shapes: dict[tuple[int, int], list[int]] = {}
+    for i, (x, y) in enumerate(zip(xs, ys, strict=True)):
+        shapes.setdefault((len(x), len(y)), []).append(i)
+    for (m, k), places in shapes.items():
+        each = max(1, COMPARED_BYTES // max(m, k))
+        for at in range(0, len(places), each):
+            part = places[at : at + each]
+            sides = [np.frombuffer(b"".join(s[i] for i in part), np.uint64).reshape(len(part), -1, min(m, k) // 8) for s in (xs, ys)]
+            differ = np.bitwise_xor.reduce(sides[0], axis=1) ^ np.bitwise_xor.reduce(sides[1], axis=1)
+            out[part] = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def may_link(xn: np.ndarray, yn: np.ndarray, xs: list[bytes], ys: list[bytes], t: Fraction) -> np.ndarray:
+    """Pairs of sets (sizes and sketches) that are not ruled out."""
+    sized = np.flatnonzero(t.denominator * np.minimum(xn, yn) >= t.numerator * np.maximum(xn, yn))
+    out = np.zeros(len(xn), bool)
+    apart = apart_at_least([xs[i] for i in sized], [ys[i] for i in sized])
+    out[sized] = (t.denominator + t.numerator) * apart <= (t.denominator - t.numerator) * (xn + yn)[sized]
+    return out
 
 
 @dataclass(frozen=True)
@@ -196,32 +236,33 @@ def _read(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def _describe(rows: DataFrame, n: int) -> DataFrame:
-    """doc_id, set size, set name and parity sketch of every row."""
+def _describe(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """doc_id, set size, names of the set and parity sketch of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(n)
         for whole in batches:
             for batch in sub_batches(whole):
                 sets = [hasher.shingles(h) for h in hasher.word_hashes([split_words(t) for t in batch.column("text").to_pylist()])]
-                sketch = np.stack([parity_sketch(s) for s in sets]) if sets else np.zeros((0, SKETCH), np.int64)
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_shingles": pa.array(map(len, sets), pa.int64()), "set_id": pa.array(map(set_id, sets), pa.int64())} | {f"k{i}": pa.array(sketch[:, i]) for i in range(SKETCH)})
-
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_id long, " + ", ".join(f"k{i} long" for i in range(SKETCH)))
-
+                names = [set_names(s, seed) for s in sets]
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "doc_id": batch.column("doc_id"),
+                        "n_shingles": pa.array(map(len, sets), pa.int64()),
+                        "set_id": pa.array([x for x, _ in names], pa.int64()),
+                        "check": pa.array([y for _, y in names], pa.int64()),
+                        "sketch": pa.array(map(parity_sketch, sets), pa.binary()),
+                    }
+                )
 
-def _groups(order_sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of runs of equal values that are longer than one."""
-    edges = np.flatnonzero(np.concatenate([[True], order_sigs[1:] != order_sigs[:-1], [True]]))
-    longer = np.diff(edges) > 1
-    return edges[:-1][longer], edges[1:][longer]
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_id long, check long, sketch binary")
 
 
 _PACK = ("bucket", "kind", "sigs", "names", "pivots", "members")
 _PACK_TYPES = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
 
 
-def _shared_signatures(rows: DataFrame, n: int, bands: Bands, owners: int) -> DataFrame:
+def _shared_signatures(rows: DataFrame, n: int, bands: Bands, owners: int, seed: int) -> DataFrame:
     """(sig, pivot, member) for each set that shares a signature with an earlier one; names of sets.
 
     Signatures travel packed, one row for each owner bucket and batch: their
@@ -237,7 +278,7 @@ def _shared_signatures(rows: DataFrame, n: int, bands: Bands, owners: int) -> Da
                 sets = {}
                 for h in hasher.word_hashes([split_words(t) for t in batch.column("text").to_pylist()]):
                     if len(s := hasher.shingles(h)):
-                        sets[set_id(s)] = s
+                        sets[set_names(s, seed)[0]] = s
                 if not sets:
                     continue
                 each = [signatures(s, bands) for s in sets.values()]
@@ -304,25 +345,106 @@ def _shared_signatures(rows: DataFrame, n: int, bands: Bands, owners: int) -> Da
     return packed.repartition(owners, "bucket").sortWithinPartitions("bucket").mapInArrow(own, "sig long, pivot long, member long")
 
 
-_SKETCH = [f"k{i}" for i in range(SKETCH)]
+def _not_ruled_out(pairs: DataFrame, names: DataFrame, t: Fraction) -> DataFrame:
+    """Of ``pairs`` (a, b: ids of sets) those that sizes and sketches leave."""
+    x = names.select(F.col("set_id").alias("a"), F.col("n").alias("xn"), F.col("sketch").alias("xs"))
+    y = names.select(F.col("set_id").alias("b"), F.col("n").alias("yn"), F.col("sketch").alias("ys"))
+    sized = t.denominator * F.least("xn", "yn") >= t.numerator * F.greatest("xn", "yn")
+    sides = pairs.join(x, "a").join(y, "b").where(sized).select("a", "b", "xn", "yn", "xs", "ys")
 
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        left = may_link(*(batch.column(c).to_numpy() for c in ("xn", "yn")), *(batch.column(c).to_pylist() for c in ("xs", "ys")), t)
+        return batch.select(["a", "b"]).filter(pa.array(left))
 
-def _can_link(t: Fraction):
-    """Of sets with columns x_n, x_k*, y_n, y_k*: not ruled out by sizes, or by sketches that differ in too many bits."""
-    differ = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in _SKETCH[1:]), F.bit_count(F.col("x_k0").bitwiseXOR(F.col("y_k0"))))
-    sizes = t.denominator * F.least("x_n", "y_n") >= t.numerator * F.greatest("x_n", "y_n")
-    return sizes & ((t.denominator + t.numerator) * differ <= (t.denominator - t.numerator) * (F.col("x_n") + F.col("y_n")))
+    return arrow_map(sides, run, "a long, b long")
 
 
-def _facts(names: DataFrame, side: str, key: str) -> DataFrame:
-    return names.select(F.col("set_id").alias(key), *(F.col(c).alias(f"{side}_{c}") for c in ("n", *_SKETCH)))
+def _meetings(labelled: DataFrame, names: DataFrame, t: Fraction, owners: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a signature and that nothing rules out.
 
+    ``labelled``: (sig, node, label).  A signature with several components goes
+    to the one that has most of its sets.  There each set comes once, with all
+    signatures that went there, and meets the sets of other components with
+    which it shares one.  Sets outside that component are dealt to blocks of
+    about ``BLOCK_BYTES``, and all sets of the meeting pass by each block.
+    """
+    per_label = labelled.groupBy("sig", "label").count()
+    main = per_label.groupBy("sig").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("sig", "main")
+    met = labelled.join(main, "sig").groupBy("main", "node").agg(F.max("label").alias("label"), F.collect_list("sig").alias("sigs"))  # a set's own signatures
+    facts = names.select(F.col("set_id").alias("node"), "n", "sketch")
+    met = cut(met.join(facts, "node").select("main", "node", "label", "n", "sketch", "sigs"))
+    weight = F.octet_length("sketch") + 8 * F.size("sigs")
+    blocks = met.where("label <> main").groupBy("main").agg(F.ceil(F.sum(weight) / BLOCK_BYTES).cast("int").alias("blocks"))
+    dealt = met.join(blocks, "main")
+    own = dealt.where("label <> main").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("role", F.lit(0))
+    passing = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(1))
+    columns = ("main", "block", "role", "node", "label", "n", "sketch", "sigs")
+    every = own.select(*columns).unionByName(passing.select(*columns))
 
-def _verify(pairs: DataFrame, names: DataFrame, rows: DataFrame, n: int, t: Fraction) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, index = None, [], None
+        for batch in batches:
+            rows = batch.to_pydict()
+            sigs = batch.column("sigs")
+            ends, flat = sigs.offsets.to_numpy(), sigs.values.to_numpy()
+            keys = list(zip(rows["main"], rows["block"], strict=True))
+            at = 0
+            while at < len(keys):
+                stop = at
+                while stop < len(keys) and keys[stop] == keys[at] and rows["role"][stop] == rows["role"][at]:
+                    stop += 1
+                if keys[at] != key:
+                    key, held, index = keys[at], [], None
+                for i in range(at, stop) if not rows["role"][at] else ():
+                    held.append((rows["node"][i], rows["label"][i], rows["n"][i], rows["sketch"][i], flat[ends[i] : ends[i + 1]]))
+                if rows["role"][at] and held:
+                    index = index or Block(held, key[0])
+                    here = [(rows["node"][i], rows["label"][i], rows["n"][i], rows["sketch"][i], flat[ends[i] : ends[i + 1]]) for i in range(at, stop)]
+                    if len(found := index.pairs(here, t)):
+                        yield pa.RecordBatch.from_pydict({"a": pa.array(found.min(axis=1)), "b": pa.array(found.max(axis=1))})
+                at = stop
+
+    return every.repartition(owners, "main", "block").sortWithinPartitions("main", "block", "role").mapInArrow(run, "a long, b long").distinct()
+
+
+class Block:
+    """Sets of a meeting (node, label, size, sketch, signatures), by signature."""
+
+    def __init__(self, sets: list[tuple], main: int):
+        self.main = main
+        self.node, self.label, self.n = (np.array([s[k] for s in sets], np.int64) for k in range(3))
+        self.sketch = [s[3] for s in sets]
+        sigs = np.concatenate([s[4] for s in sets])
+        owner = np.repeat(np.arange(len(sets)), [len(s[4]) for s in sets])
+        order = np.argsort(sigs, kind="stable")
+        self.sigs, self.owner = sigs[order], owner[order]
+
+    def pairs(self, passing: list[tuple], t: Fraction) -> np.ndarray:
+        """Nodes (held, passing) with a common signature, in different components, each pair in one order only, not ruled out."""
+        meet = np.zeros((len(passing), len(self.node)), bool)
+        for row, s in zip(meet, passing, strict=True):
+            first, last = (np.searchsorted(self.sigs, s[4], side=side) for side in ("left", "right"))
+            many = last - first
+            if many.any():
+                skip = np.repeat(first - (np.cumsum(many) - many), many)
+                row[self.owner[skip + np.arange(many.sum())]] = True
+        node, label, n = (np.array([s[k] for s in passing], np.int64)[:, None] for k in range(3))
+        meet &= (label != self.label) & ((label == self.main) | (self.node < node))
+        meet &= t.denominator * np.minimum(n, self.n) >= t.numerator * np.maximum(n, self.n)
+        p, h = np.nonzero(meet)
+        if not len(p):
+            return np.zeros((0, 2), np.int64)
+        left = may_link(n[p, 0], self.n[h], [passing[i][3] for i in p], [self.sketch[i] for i in h], t)
+        return np.stack([self.node[h[left]], node[p[left], 0]], axis=1)
+
+
+def _verify(pairs: DataFrame, names: DataFrame, rows: DataFrame, n: int, t: Fraction, seed: int) -> DataFrame:
     """Of ``pairs`` (a, b: names of sets) those that link, checked on the words themselves.
 
     ``names`` gives each set's document.  A pivot meets at most ``PER_SALT``
-    members, more or less, in one task; its text is sent once for each.
+    members, more or less, in one task; its text is sent once for each.  Sets
+    of hashes rule out what is more than two n-grams short of linking, which a
+    collision of hashes cannot bring about; the rest is counted on the words.
     """
     many = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / PER_SALT).cast("int").alias("salts"))
     salted = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
@@ -336,23 +458,27 @@ def _verify(pairs: DataFrame, names: DataFrame, rows: DataFrame, n: int, t: Frac
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(n)
-        key, head = None, None
+        key, head, head_words, head_set = None, None, None, None
+        links = lambda x, y, both: den * both >= num * (x + y - both)
         for whole in batches:
             for batch in sub_batches(whole, most=2 << 20):
                 found: list[tuple[int, int]] = []
                 words = [split_words(x) for x in batch.column("text").to_pylist()]
-                right = [set_id(hasher.shingles(h)) for h in hasher.word_hashes(words)]  # an id may stand on several texts
-                for a, salt, role, node, w, name in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "role", "node")), words, right, strict=True):
-                    if node != name:
+                hashed = [hasher.shingles(h) for h in hasher.word_hashes(words)]
+                for a, salt, role, node, w, s in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "role", "node")), words, hashed, strict=True):
+                    if node != set_names(s, seed)[0]:  # an id may stand on several texts
                         continue
                     if not role:
                         if (a, salt) != key:
-                            key, head = (a, salt), shingle_tuples(w, n)
+                            key, head, head_words, head_set = (a, salt), s, w, None
                     elif (a, salt) == key:
-                        own = shingle_tuples(w, n)
-                        both = len(own & head)
-                        if both and den * both >= num * (len(own) + len(head) - both):
-                            found.append((a, node))
+                        near = len(np.intersect1d(s, head, assume_unique=True))
+                        if near and links(len(s), len(head), near + 2):
+                            head_set = head_set or shingle_tuples(head_words, n)
+                            own = shingle_tuples(w, n)
+                            both = len(own & head_set)
+                            if both and links(len(own), len(head_set), both):
+                                found.append((a, node))
                 if found:
                     yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
@@ -397,13 +523,16 @@ def link_documents(docs: DataFrame, *, n: int = 3, similarity: Fraction = Fracti
         spark.conf.set(setting, before)
 
 
-def _linked(rows: DataFrame, n: int, t: Fraction) -> DataFrame:
+def _linked(rows: DataFrame, n: int, t: Fraction, seed: int = 0) -> DataFrame:
     """All jobs with Python in them run here; what is returned reads checkpoints."""
     spark = rows.sparkSession
     owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    thin = cut(_describe(rows, n))
+    thin = cut(_describe(rows, n, seed))
     filled = thin.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    names = cut(filled.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"), *(F.max(c).alias(c) for c in _SKETCH)))
+    named = filled.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"), F.min("check").alias("low"), F.max("check").alias("high"))
+    names = cut(named)
+    if names.where("low <> high").limit(1).count():  # two sets with one id: name them anew
+        return _linked(rows, n, t, seed + 1)
     largest = names.agg(F.max("n")).head()[0] or 1
     bands = Bands(t, largest)
     edges = F.lit(-1)
@@ -411,27 +540,19 @@ def _linked(rows: DataFrame, n: int, t: Fraction) -> DataFrame:
         edges = edges + (F.col("n") >= b.low).cast("int")
     counted = {r["band"]: r["count"] for r in names.groupBy(edges.alias("band")).count().collect()}  # one row for each band
     bands = Bands(t, largest, counted)
-    shared = cut(_shared_signatures(rows.where(F.col("doc_id").isNotNull()), n, bands, owners))
+    shared = cut(_shared_signatures(rows.where(F.col("doc_id").isNotNull()), n, bands, owners, seed))
 
     stars = shared.select(F.col("pivot").alias("a"), F.col("member").alias("b")).distinct()
-    stars = cut(stars.join(_facts(names, "x", "a"), "a").join(_facts(names, "y", "b"), "b").where(_can_link(t)).select("a", "b"))
-    links = cut(_verify(stars, names, rows, n, t))
+    stars = cut(_not_ruled_out(stars, names, t))
+    links = cut(_verify(stars, names, rows, n, t, seed))
     labels = components(links)
 
     members = shared.select("sig", F.col("member").alias("node")).unionByName(shared.select("sig", F.col("pivot").alias("node"))).distinct()
     labelled = cut(members.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("label")))
-    split = labelled.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    per_label = labelled.join(split, "sig").groupBy("sig", "label").count()
-    main = per_label.groupBy("sig").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
-    open_ = labelled.join(main, "sig")
-    left = open_.where("label <> main").select("sig", F.col("node").alias("x_node"), F.col("label").alias("x_label")).join(_facts(names, "x", "x_node"), "x_node")
-    right = open_.select("sig", "main", F.col("node").alias("y_node"), F.col("label").alias("y_label")).join(_facts(names, "y", "y_node"), "y_node")
-    once = (F.col("y_label") == F.col("main")) | (F.col("x_node") < F.col("y_node"))
-    across = left.join(right, "sig").where((F.col("x_label") != F.col("y_label")) & once & _can_link(t))
-    pairs = across.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct().join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    pairs = cut(pairs)
+    known = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = cut(_meetings(labelled, names, t, owners).join(known, ["a", "b"], "left_anti"))
     if pairs.limit(1).count():
-        more = cut(_verify(pairs, names, rows, n, t))
+        more = cut(_verify(pairs, names, rows, n, t, seed))
         labels = components(links.unionByName(more))
 
     named = names.join(labels.select(F.col("node").alias("set_id"), "label"), "set_id", "left").select("set_id", "doc_id", "copies", F.coalesce("label", "set_id").alias("label"))
@@ -448,5 +569,6 @@ def keep_one(docs: DataFrame, *, n: int = 5, similarity: Fraction = Fraction(4,
     Rows without n-grams or without an id stay; rows that repeat that id stay together.
     """
     found = link_documents(docs, n=n, similarity=similarity, id_col=id_col, text_col=text_col)
-    gone = found.where((F.col("n_shingles") > 0) & (F.col("component_id") != F.col("doc_id"))).select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("_gone_id"), "left_anti")
+    gone_id = fresh(docs, "gone_id")
+    gone = found.where((F.col("n_shingles") > 0) & (F.col("component_id") != F.col("doc_id"))).select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col(gone_id), "left_anti")

@@ -573,8 +573,33 @@ def test_odd_rows_and_keep_one(odd):
 
 def test_sketch_never_exceeds_the_difference():
     rng = np.random.default_rng(1)
-    for size in (1, 10, 500, 5000):
+    for size, other in ((1, 1), (10, 10), (500, 500), (5000, 5000), (5000, 900), (300, 4000)):
         a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.int64).astype(np.uint64))
-        b = np.unique(np.concatenate([a[: size // 2], rng.integers(0, 1 << 63, size, dtype=np.int64).astype(np.uint64)]))
-        apart = int(np.bitwise_count(ngram_join.parity_sketch(a) ^ ngram_join.parity_sketch(b)).sum())
-        assert apart <= len(np.setxor1d(a, b))
+        b = np.unique(np.concatenate([a[: other // 2], rng.integers(0, 1 << 63, other, dtype=np.int64).astype(np.uint64)]))
+        x, y = ngram_join.parity_sketch(a), ngram_join.parity_sketch(b)
+        apart = ngram_join.apart_at_least([x, x, y], [y, x, x]).tolist()
+        assert 0 < apart[0] <= len(np.setxor1d(a, b)) and apart[1] == 0 and apart[2] == apart[0]
+
+
+def test_meetings_in_many_blocks_lose_no_link(spark, monkeypatch):
+    """Copies of one text, each further away than the one before: components that only meet in round two."""
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 600)
+    rng = random.Random(3)
+    rows = []
+    for family in range(3):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        for i in range(60):
+            w = list(words)
+            for _ in range(rng.choice([1, 2, 3, 4, 5])):
+                w[rng.randrange(60)] = f"v{rng.randrange(4)}"
+            rows.append((100 * family + i, " ".join(w)))
+    rng.shuffle(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), n=3, similarity=Fraction(7, 10)).collect()}
+    want = brute_components(rows, 3, Fraction(7, 10))
+    assert got == want and 3 < len({c for _, c in want.values()}) < 180
+
+
+def test_keep_one_beside_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c d e f", 1, 2, 3, 4), (2, "a b c d e f", 1, 2, 3, 4)], "doc_id long, text string, _gone_id int, gone_id int, _keep_id int, keep_id int")
+    for kept in (ngram_join.keep_one(df), exact_dedup.keep_one(df)):
+        assert kept.columns == df.columns and kept.count() == 1
