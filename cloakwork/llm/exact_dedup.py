@@ -1,16 +1,19 @@
-"""Exact duplicates by an extendible-hash index.
-
-Keys are 64-bit hashes of whole texts.  A directory over key prefixes starts
-at depth 0; a bucket with more distinct keys than its capacity is split by
-doubling, as often as it takes, so that buckets follow the data (one key alone
-is never split).  Buckets are dealt to owner tasks.  An owner gets its keys in
-order and chains the entries of one key, comparing bytes, so that two texts
-with one hash stay apart.
+"""Exact duplicates by an extendible-hash index on shared files.
+
+Keys are 64-bit hashes of whole texts; a first pass writes the rows' keys into
+the shared checkpoint folder, and only texts whose key stands on several rows
+are looked at again.  The key space is cut into ranges, which are dealt to
+owner tasks.  An owner gets the entries of a range in key order, chains those
+of one key, comparing bytes, so that two texts with one hash stay apart, and
+puts each text into the range's extendible-hash directory: a bucket that holds
+more keys than its capacity is split, and where it has a single slot the
+directory doubles first (one key alone is never split).  The buckets of all
+ranges are the index; they lie in the shared checkpoint folder, and rows find
+their group by joining it.  Neither keys nor directories pass the driver.
 
 Map tasks chain their own rows first and send one entry for each different
 text, so a group of copies that holds a third of all rows reaches its owner as
-one entry for each window of a map task.  Directory counts and the owners'
-verdicts lie in the shared checkpoint folder; rows never pass the driver.
+one entry for each window of a map task.
 """
 
 from __future__ import annotations
@@ -18,7 +21,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,52 +30,68 @@ from .common import cut, fresh, sub_batches
 
 #: Distinct keys a bucket may hold before it is split.
 BUCKET_KEYS = 4096
-#: Prefix bits that one round of splitting looks at.
-ROUND_BITS = 12
+#: Times a range's directory doubles at most; a bucket at that depth takes more keys than its capacity.
+MOST_DOUBLINGS = 16
+#: Key ranges of each owner task, more or less.
+OWNER_RANGES = 4
 #: Bytes of different texts that a map task chains before it sends them on.
 WINDOW_BYTES = 24 << 20
-
-_ENTRY = "bucket int, key long, text binary, last_id long, rows long"
-_VERDICT = "key long, sha string, keep_id long, group_size long"
-
-
-def build_directory(keys: DataFrame, bucket_keys: int = BUCKET_KEYS, round_bits: int = ROUND_BITS) -> list[tuple[int, int]]:
-    """The buckets (depth, prefix) over distinct ``keys``, each full at most, in key order.
-
-    Every round counts keys below the overfull prefixes only, and sends at most
-    2**round_bits counts for each such prefix to the driver; keys are hashes,
-    so an overfull bucket holds many keys and the buckets are at most some four
-    times keys / bucket_keys.
-    """
-    done: list[tuple[int, int]] = []
-    open_: list[tuple[int, int]] = [(0, 0)]
-    depth = 0
-    while open_:
-        deeper = min(64, depth + round_bits)
-        below = F.shiftrightunsigned("key", 64 - deeper)
-        scope = keys if depth == 0 else keys.where(F.shiftrightunsigned("key", 64 - depth).isin([p for _, p in open_]))
-        counts = {r["p"] % (1 << deeper): r["count"] for r in scope.select(below.alias("p")).groupBy("p").count().collect()}
-        level = [counts]
-        for _ in range(deeper - depth):
-            upper: dict[int, int] = {}
-            for p, n in level[-1].items():
-                upper[p >> 1] = upper.get(p >> 1, 0) + n
-            level.append(upper)
-        todo, open_ = open_, []
-        while todo:
-            d, p = todo.pop()
-            n = level[deeper - d].get(p, 0)
-            if n <= bucket_keys or d == 64:
-                done.append((d, p))
-            elif d == deeper:
-                open_.append((d, p))
-            else:  # overfull: the directory doubles below this prefix
-                todo += [(d + 1, 2 * p), (d + 1, 2 * p + 1)]
-        depth = deeper
-    return sorted(done, key=lambda b: b[1] << (64 - b[0]))
-
-
-def _entries(docs: DataFrame, starts: np.ndarray) -> DataFrame:
+#: Up to so many keys or index rows (some 40 bytes each) go to every task; beyond, all rows are shuffled by key, with the same result.
+LISTED = 1 << 20
+
+_ENTRY = "range int, key long, text binary, last_id long, rows long"
+_INDEX = "depth int, prefix long, key long, sha string, keep_id long, group_size long"
+
+
+class Directory:
+    """Extendible hashing of one key range: slots point to buckets, which hold the entries of up to ``capacity`` keys."""
+
+    def __init__(self, range_bits: int, capacity: int):
+        self.bits, self.capacity = range_bits, capacity
+        self.depth = 0  # bits below the range's own that the directory tells apart
+        self.slots: list[dict] = [self._bucket(0)]
+
+    @staticmethod
+    def _bucket(depth: int) -> dict:
+        return {"depth": depth, "keys": {}}
+
+    def _slot(self, key: int) -> int:
+        return (key & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits - self.depth) & ((1 << self.depth) - 1)
+
+    def add(self, key: int, entry: tuple) -> None:
+        bucket = self.slots[self._slot(key)]
+        bucket["keys"].setdefault(key, []).append(entry)
+        while len(bucket["keys"]) > self.capacity and bucket["depth"] < min(MOST_DOUBLINGS, 64 - self.bits):
+            self._split(bucket)
+            bucket = self.slots[self._slot(key)]
+
+    def _split(self, bucket: dict) -> None:
+        if bucket["depth"] == self.depth:  # a single slot: the directory doubles
+            self.slots = [b for b in self.slots for _ in (0, 1)]
+            self.depth += 1
+        halves = [self._bucket(bucket["depth"] + 1) for _ in (0, 1)]
+        shift = 64 - self.bits - bucket["depth"] - 1
+        for key, entries in bucket["keys"].items():
+            halves[(key & 0xFFFFFFFFFFFFFFFF) >> shift & 1]["keys"][key] = entries
+        deeper = self.depth - bucket["depth"]
+        first = self._slot(next(iter(bucket["keys"]))) >> deeper << deeper
+        each = 1 << (deeper - 1)
+        for k, half in enumerate(halves):
+            self.slots[first + k * each : first + (k + 1) * each] = [half] * each
+
+    def rows(self, range_: int) -> Iterator[tuple]:
+        """(depth, prefix, key, entry) of every bucket, in key order; depth and prefix count from the top of the key."""
+        at = 0
+        while at < len(self.slots):
+            bucket = self.slots[at]
+            deeper = self.depth - bucket["depth"]
+            for key, entries in bucket["keys"].items():
+                for entry in entries:
+                    yield self.bits + bucket["depth"], range_ << bucket["depth"] | at >> deeper, key, entry
+            at += 1 << deeper
+
+
+def _entries(docs: DataFrame, range_bits: int) -> DataFrame:
     """One entry for each different text of a window of a map task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,9 +101,8 @@ def _entries(docs: DataFrame, starts: np.ndarray) -> DataFrame:
         def send() -> pa.RecordBatch:
             rows = [(k, *e) for k, chain in chains.items() for e in chain]
             chains.clear()
-            keys = np.array([r[0] for r in rows], np.int64)
-            bucket = np.searchsorted(starts, keys.view(np.uint64), side="right") - 1
-            return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket.astype(np.int32)), "key": pa.array(keys), "text": pa.array([r[1] for r in rows], pa.binary()), "last_id": pa.array([r[2] for r in rows], pa.int64()), "rows": pa.array([r[3] for r in rows], pa.int64())})
+            columns = [[(k & 0xFFFFFFFFFFFFFFFF) >> (64 - range_bits) for k, *_ in rows], *zip(*rows, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["range", "key", "text", "last_id", "rows"])
 
         for whole in batches:
             for batch in sub_batches(whole):
@@ -109,44 +126,73 @@ def _entries(docs: DataFrame, starts: np.ndarray) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text"), "key").mapInArrow(run, _ENTRY)
 
 
-def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries in key order; gives a verdict for each text that more than one row has."""
-    key, chain = None, []
-    out: list[tuple] = []
-
-    def close() -> None:
-        seen = set()
-        for text, last_id, rows in chain:
-            sha = hashlib.sha256(text).hexdigest()
-            if sha in seen:
-                raise ValueError("two different texts with one SHA-256")
-            seen.add(sha)
-            if rows > 1:
-                out.append((key, sha, last_id, rows))
-
-    def taken() -> pa.RecordBatch:
-        columns = list(zip(*out, strict=True)) or [[]] * 4
-        out.clear()
-        return pa.RecordBatch.from_pydict({n: pa.array(c, t) for n, c, t in zip(("key", "sha", "keep_id", "group_size"), columns, (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)})
-
-    for batch in batches:
-        for k, text, last_id, rows in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "last_id", "rows")), strict=True):
-            if k != key:
-                close()
-                key, chain = k, []
-            for entry in chain:
-                if entry[0] == text:
-                    entry[2] += rows
-                    if last_id is not None and (entry[1] is None or last_id > entry[1]):
-                        entry[1] = last_id
-                    break
-            else:
-                chain.append([text, last_id, rows])
-        if out:
-            yield taken()
-    close()
-    if out:
-        yield taken()
+def _own(range_bits: int, bucket_keys: int):
+    """Entries in the order of range and key; gives the index rows of texts that more than one row has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        range_, directory = None, Directory(range_bits, bucket_keys)
+        key, chain = None, []
+
+        def close_key() -> None:
+            seen = set()
+            for text, last_id, rows in chain:
+                sha = hashlib.sha256(text).hexdigest()
+                if sha in seen:
+                    raise ValueError("two different texts with one SHA-256")
+                seen.add(sha)
+                if rows > 1:
+                    directory.add(key, (sha, last_id, rows))
+
+        def index() -> Iterator[pa.RecordBatch]:
+            rows = [(d, p, k, *e) for d, p, k, e in directory.rows(range_ or 0)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["depth", "prefix", "key", "sha", "keep_id", "group_size"])
+
+        for batch in batches:
+            for r, k, text, last_id, rows in zip(*(batch.column(c).to_pylist() for c in ("range", "key", "text", "last_id", "rows")), strict=True):
+                if k != key:
+                    close_key()
+                    key, chain = k, []
+                if r != range_:
+                    yield from index()
+                    range_, directory = r, Directory(range_bits, bucket_keys)
+                for entry in chain:
+                    if entry[0] == text:
+                        entry[2] += rows
+                        if last_id is not None and (entry[1] is None or last_id > entry[1]):
+                            entry[1] = last_id
+                        break
+                else:
+                    chain.append([text, last_id, rows])
+        close_key()
+        yield from index()
+
+    return run
+
+
+def _text(text_col: str, normalise=None):
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return normalise(text) if normalise else text
+
+
+def _listed(rows: DataFrame) -> DataFrame:
+    """``rows`` with a broadcast hint if there are no more than ``LISTED``."""
+    return F.broadcast(rows) if rows.limit(LISTED + 1).count() <= LISTED else rows
+
+
+def build_index(docs: DataFrame, thin: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
+    """The index over texts that several rows of ``docs`` (doc_id, text, key) hold.
+
+    ``thin`` holds the rows' keys.  One row for each such text: depth and
+    prefix of its bucket, key, sha, keep_id (the largest id), group_size.
+    """
+    owners = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    range_bits = max(1, (OWNER_RANGES * owners - 1).bit_length())
+    repeated = cut(thin.groupBy("key").count().where("count > 1").select("key"))
+    if repeated.limit(LISTED + 1).count() <= LISTED:
+        docs = docs.join(F.broadcast(repeated), "key", "left_semi")
+    entries = _entries(docs, range_bits).repartition(owners, "range").sortWithinPartitions("range", "key")
+    return cut(entries.mapInArrow(_own(range_bits, bucket_keys), _INDEX))
 
 
 def exact_groups(docs: DataFrame, *, bucket_keys: int = BUCKET_KEYS, id_col: str = "doc_id", text_col: str = "text", normalise=None) -> DataFrame:
@@ -158,27 +204,29 @@ def exact_groups(docs: DataFrame, *, bucket_keys: int = BUCKET_KEYS, id_col: str
     all others; where the largest id stands on several equal rows exactly one
     of them is kept; an empty table gives no rows; other columns are ignored.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    text = normalise(text) if normalise else text
-    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("key", F.xxhash64("text"))
+    keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), _text(text_col, normalise).alias("text")).withColumn("key", F.xxhash64("text"))
     thin = cut(keyed.select("doc_id", "key", F.sha2("text", 256).alias("sha")))
-    buckets = build_directory(thin.select("key").distinct(), bucket_keys)
-    starts = np.array([p << (64 - d) for d, p in buckets], np.uint64)
-    owners = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entries = _entries(keyed, starts).repartition(owners, "bucket").sortWithinPartitions("bucket", "key")
-    verdicts = cut(entries.select("key", "text", "last_id", "rows").mapInArrow(_own, _VERDICT))
-    joined = thin.join(verdicts, ["key", "sha"], "left")
+    index = build_index(keyed, thin, bucket_keys)
+    joined = thin.join(_listed(index.select("key", "sha", "keep_id", "group_size")), ["key", "sha"], "left")
     keep_id = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     judged = joined.select("doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("sha").alias("text_sha256"))
     first = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy("keep_id")) == 1
     return judged.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & first).alias("kept"), "text_sha256")
 
 
-def keep_one(docs: DataFrame, *, bucket_keys: int = BUCKET_KEYS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows equal in id and text one stays."""
-    kept = exact_groups(docs, bucket_keys=bucket_keys, id_col=id_col, text_col=text_col).where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
-    digest, place = fresh(docs, "sha"), fresh(docs, "place")
-    marked = docs.withColumn(digest, F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
-    on = (F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_keep_id"))) & (F.col(digest) == F.col("_keep_sha"))
-    one = F.row_number().over(Window.partitionBy(F.col(f"`{id_col}`"), F.col(digest)).orderBy(F.col(digest)))
-    return marked.join(kept, on, "left_semi").withColumn(place, one).where(F.col(place) == 1).drop(digest, place)
+def keep_one(docs: DataFrame, *, bucket_keys: int = BUCKET_KEYS, id_col: str = "doc_id", text_col: str = "text", normalise=None) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; of rows equal in id and text one stays.
+
+    Rows whose text is in no group stay where they are; where the index is
+    listed, only the rows with a group's largest id are shuffled.
+    """
+    keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), _text(text_col, normalise).alias("text")).withColumn("key", F.xxhash64("text"))
+    index = build_index(keyed, keyed.select("key"), bucket_keys)
+    key, sha, keep_id, size, place = (fresh(docs, c) for c in ("key", "sha", "keep_id", "group_size", "place"))
+    groups = _listed(index.select(F.col("key").alias(key), F.col("sha").alias(sha), F.col("keep_id").alias(keep_id), F.col("group_size").alias(size)))
+    text = _text(text_col, normalise)
+    marked = docs.withColumns({key: F.xxhash64(text), sha: F.sha2(text, 256)}).join(groups, [key, sha], "left")
+    alone = marked.where(F.col(size).isNull())
+    best = marked.where(F.col(size).isNotNull() & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(keep_id)))
+    one = best.withColumn(place, F.row_number().over(Window.partitionBy(key, sha).orderBy(keep_id))).where(F.col(place) == 1)
+    return alone.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(one.select(*(F.col(f"`{c}`") for c in docs.columns)))

@@ -278,13 +278,31 @@ def test_colliding_keys_are_chained(spark, monkeypatch):
     check_groups(exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), bucket_keys=1).collect(), rows)
 
 
-def test_directory_splits_by_doubling(spark):
+def test_directory_splits_by_doubling():
     rng = random.Random(6)
-    keys = [rng.getrandbits(64) - (1 << 63) for _ in range(500)] + [(5 << 40) + k for k in range(300)]
-    buckets = exact_dedup.build_directory(spark.createDataFrame([(k,) for k in keys], "key long"), 20, 5)
-    spans = [(p << (64 - d), (p + 1) << (64 - d)) for d, p in buckets]
-    assert spans[0][0] == 0 and spans[-1][1] == 1 << 64 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
-    assert all(sum(lo <= k % (1 << 64) < hi for k in keys) <= 20 for lo, hi in spans)
+    for bits in (1, 3):
+        keys = sorted(((1 << 64) - (1 << 64 - bits) | rng.getrandbits(64 - bits)) - (1 << 64) for _ in range(500)) + [(5 << 40) - (1 << 64 - bits) + k for k in range(300)]
+        directory = exact_dedup.Directory(bits, 20)
+        for k in rng.sample(keys, len(keys)):
+            directory.add(k, (k,))
+        rows = list(directory.rows((1 << bits) - 1))
+        assert sorted(k for _, _, k, _ in rows) == sorted(keys) and all(e == (k,) for _, _, k, e in rows)
+        held = {}
+        for d, p, k, _ in rows:
+            assert k % (1 << 64) >> (64 - d) == p
+            held[d, p] = held.get((d, p), 0) + 1
+        assert max(n for (d, _), n in held.items() if d < bits + exact_dedup.MOST_DOUBLINGS) <= 20 and len(directory.slots) == 1 << directory.depth <= 1 << exact_dedup.MOST_DOUBLINGS
+        spans = sorted((p << (64 - d), (p + 1) << (64 - d)) for d, p in held)
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_index_without_listing(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "LISTED", 3)
+    rows = [(i, f"t{i % 50}" if i % 3 else f"alone {i}") for i in range(300)] + [(7, "t7"), (299, "t49"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    check_groups(exact_dedup.exact_groups(df, bucket_keys=2).collect(), rows)
+    assert sorted(map(repr, exact_dedup.keep_one(df).collect())) == sorted({repr(r) for r in exact_dedup.keep_one(df).collect()})
+    assert exact_dedup.keep_one(df).count() == len({t or "" for _, t in rows})
 
 
 # -- 5 -------------------------------------------------------------------------
