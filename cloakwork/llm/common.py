@@ -21,11 +21,14 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster (``spark.checkpoint.dir``).
 
-    Only where it is unset, as in local tests, a temporary folder is taken.
+    Only where it is unset and all tasks run in this process, as in local
+    tests, a temporary folder is taken.
     """
     sc = spark.sparkContext
     at = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = tempfile.mkdtemp(prefix="cloakwork-ckpt-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(at)

@@ -55,7 +55,7 @@ BLOCK_BYTES = 4 << 20
 COMPARED_BYTES = 16 << 20
 #: Members that one task verifies against a pivot.
 PER_SALT = 256
-#: Up to so many pairs, the list of wanted texts (some 40 bytes each) goes to every task, and only those texts are shuffled.
+#: Up to so many pairs, the list of wanted texts (some 40 bytes each) goes to every task, and only those texts are shuffled; the same for meetings.
 LISTED_PAIRS = 100_000
 #: Rows of an Arrow batch while the join runs; texts may be long.
 BATCH_ROWS = 512
@@ -375,7 +375,7 @@ def _meetings(labelled: DataFrame, names: DataFrame, t: Fraction, owners: int) -
     met = cut(met.join(facts, "node").select("main", "node", "label", "n", "sketch", "sigs"))
     weight = F.octet_length("sketch") + 8 * F.size("sigs")
     blocks = met.where("label <> main").groupBy("main").agg(F.ceil(F.sum(weight) / BLOCK_BYTES).cast("int").alias("blocks"))
-    dealt = met.join(blocks, "main")
+    dealt = met.join(F.broadcast(blocks) if blocks.limit(LISTED_PAIRS + 1).count() <= LISTED_PAIRS else blocks, "main")
     own = dealt.where("label <> main").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("role", F.lit(0))
     passing = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(1))
     columns = ("main", "block", "role", "node", "label", "n", "sketch", "sigs")
