@@ -5,6 +5,10 @@ loss-bearing tokens.  A piece is a vector of the three; an open sequence has
 the vector of what is left.  The dot-product heuristic puts into the open
 sequence the piece, of those that fit, whose vector has the largest dot
 product with what is left, each dimension taken as a share of its limit.
+What is still open is filled with a part cut from the longest piece.  A
+sequence that cannot be full, because the segments or the loss-bearing tokens
+ran out or no piece is left, ends at the largest power of two below, which
+needs no padding, and the rest waits for the next one.
 
 Each task packs its own rows from a bounded pool, so nothing is shuffled and
 no group is gathered; sequence ids hold the partition in their upper bits.
@@ -26,9 +30,6 @@ from .common import sub_batches
 
 #: Pieces a task holds before it closes sequences; more give less padding, the memory is this times the capacity.
 POOL = 1024
-#: A gap of at least so many tokens, into which no piece fits, takes a part cut from a piece.
-MIN_CUT = 32
-
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, segment int, loss_tokens long"
 _FIELDS = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64(), "segment": pa.int32(), "loss_tokens": pa.int64()}
 
@@ -36,9 +37,9 @@ _FIELDS = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids
 class Packer:
     """Takes documents' ids, gives pieces of closed sequences."""
 
-    def __init__(self, first_sequence: int, tokens: int, segments: int, loss: int, pool: int = POOL, min_cut: int = MIN_CUT, keep_ids: bool = False):
+    def __init__(self, first_sequence: int, tokens: int, segments: int, loss: int, pool: int = POOL, keep_ids: bool = False):
         self.limits = np.array([tokens, segments, loss], np.float64)
-        self.tokens, self.segments, self.loss, self.min_cut, self.keep_ids = tokens, segments, loss, min_cut, keep_ids
+        self.tokens, self.keep_ids, self.loss = tokens, keep_ids, loss
         self.most = pool
         self.next = first_sequence
         self.sizes = np.zeros((2 * pool, 3))  # of each waiting piece: tokens, segments, loss-bearing tokens; no tokens: a free place
@@ -54,11 +55,11 @@ class Packer:
             length = min(room, n - start)
             piece = (doc_id, ids, start, length, bearing_from)
             start += length
-            if length == self.tokens or (start < n and self._bearing(piece) == self.loss):
+            if length == self.tokens:
                 self._emit([piece])
             else:
                 self._wait(piece)
-                if len(self.free) <= self.most:
+                while len(self.free) <= self.most:  # a close may give back as many pieces as it takes, but fewer tokens
                     self._close()
 
     def finish(self) -> None:
@@ -93,16 +94,24 @@ class Packer:
                 break
             left -= self.sizes[at]
             chosen.append(self._take(at))
-        if left[0] >= self.min_cut and left[1] >= 1 and len(self.free) < len(self.items):
+        if left[0] >= 1 and left[1] >= 1 and len(self.free) < len(self.items):
             waiting = np.flatnonzero(self.sizes[:, 0] > 0)
             at = int(waiting[self.sizes[waiting, 0].argmax()])  # the longest, so that few documents are cut
             doc_id, ids, start, length, bearing_from = self.items[at]
             part = int(min(left[0], length - 1, max(bearing_from - start, 0) + left[2]))
-            if part >= self.min_cut or not chosen:
+            if part > 0:
                 self._take(at)
-                part = max(part, 1)
                 chosen.append((doc_id, ids, start, part, bearing_from))
                 self._wait((doc_id, ids, start + part, length - part, bearing_from))
+        held = sum(p[3] for p in chosen)
+        over = held - (held if held == self.tokens else 1 << held.bit_length() - 1)
+        while over:
+            doc_id, ids, start, length, bearing_from = chosen.pop()
+            back = min(over, length)
+            if back < length:
+                chosen.append((doc_id, ids, start, length - back, bearing_from))
+            self._wait((doc_id, ids, start + length - back, back, bearing_from))
+            over -= back
         self._emit(chosen)
 
     def _emit(self, pieces: list[tuple]) -> None:
@@ -132,7 +141,7 @@ def pack_documents(
     vocab_path: str,
     *,
     max_tokens: int = 2048,
-    max_segments: int = 64,
+    max_segments: int = 512,
     max_loss_tokens: int | None = None,
     end_id: int = 1,
     prompt_chars: str | None = None,
@@ -150,9 +159,8 @@ def pack_documents(
 
     A null or empty text is the end id alone.  Null ids and repeated rows are
     packed row by row; an empty table gives no rows; other columns are ignored.
-    Each id lies in exactly one piece.  Only the last sequence of a task, and
-    gaps under ``MIN_CUT``, leave padding, unless the segment or loss limit
-    binds before the tokens do.
+    Each id lies in exactly one piece.  Every sequence holds ``max_tokens`` or
+    a power of two, so that none is padded.
     """
     loss = max_tokens if max_loss_tokens is None else max_loss_tokens
     if min(max_tokens, max_segments, loss) < 1:

@@ -406,18 +406,31 @@ def check_packing(rows, texts, most, segments, end=1):
             assert p.offset == at
             at += p.length
         assert at <= most and len(pieces) <= segments
-    return sum(r.length for r in rows) / most / len(by_seq)
+    held = [sum(p.length for p in pieces) for pieces in by_seq.values()]
+    return 1 - sum(most - n for n in held if n & (n - 1)) / sum(n if n & (n - 1) == 0 else most for n in held)
 
 
 def test_packing(docs, odd, spark):
     texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
-    assert check_packing(packing.pack_documents(docs, VOCAB).collect(), texts, 2048, 64) > 0.97
+    assert check_packing(packing.pack_documents(docs, VOCAB).collect(), texts, 2048, 512) == 1
     check_packing(packing.pack_documents(docs, VOCAB, max_tokens=64, max_segments=2, pool=8).collect(), texts, 64, 2)
     few = odd.where("doc_id is not null").dropDuplicates(["doc_id"])
-    check_packing(packing.pack_documents(few, VOCAB).collect(), {r.doc_id: r.text for r in few.collect()}, 2048, 64)
+    check_packing(packing.pack_documents(few, VOCAB).collect(), {r.doc_id: r.text for r in few.collect()}, 2048, 512)
     assert packing.pack_documents(odd.limit(0), VOCAB).count() == 0
 
 
+def test_packing_leaves_no_padding(spark):
+    """Many small tasks, and texts so short that segments run out before tokens do."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(64)
+    assert check_packing(packing.pack_documents(docs, VOCAB).collect(), {r.doc_id: r.text for r in docs.collect()}, 2048, 512) == 1
+    short = {i: f"w{i} x" for i in range(20_000)}
+    df = spark.createDataFrame(list(short.items()), "doc_id long, text string").repartition(5)
+    rows = packing.pack_documents(df, VOCAB, max_segments=64).collect()
+    assert check_packing(rows, short, 2048, 64) == 1
+    rows = packing.pack_documents(df, VOCAB).collect()
+    assert len({r.sequence_id for r in rows}) <= 1.05 * sum(r.length for r in rows) / 2048 + 5 * 11
+
+
 def test_three_limits_hold(docs):
     rows = packing.pack_documents(docs.withColumn("p", F.length("text") / 2), VOCAB, max_tokens=256, max_segments=3, max_loss_tokens=100, prompt_chars="p", keep_ids=True, pool=32).collect()
     by_seq = {}
@@ -427,7 +440,8 @@ def test_three_limits_hold(docs):
         s[0] += r.length
         s[1] += 1
         s[2] += r.loss_tokens
-    assert all(a <= 256 and b <= 3 and c <= 100 for a, b, c in by_seq.values())
+    assert all(a <= 256 and a & (a - 1) == 0 and b <= 3 and c <= 100 for a, b, c in by_seq.values())
+    assert max(c for _, _, c in by_seq.values()) == 100
     texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
     check_packing(rows, texts, 256, 3)
 
