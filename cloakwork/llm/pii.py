@@ -5,6 +5,11 @@ replaced by another value of the same format: its digits or letters go through
 a Feistel network keyed by a secret and tweaked by kind and length, separators
 stay where they are.  The map is a permutation of the format, so equal values
 stay equal across documents and different values of a kind stay different.
+Dates are permuted within the strings of their shape (order of the fields and
+digits of each) that are dates; a shape that days and months can both begin is
+one domain.  Phone numbers keep their calling code, which is read from the
+digits, so that one number in several spellings stays linked.  Domains of
+e-mail addresses stay as they are: they name a provider or an organisation.
 
 A card or IBAN is also found beside other short groups (an expiry date, a
 check number, an upper-case word).  Undoing is exact unless a pseudonym and
@@ -14,6 +19,7 @@ its neighbours happen to pass the check together.
 from __future__ import annotations
 
 import bisect
+import calendar
 import datetime
 import hashlib
 import re
@@ -29,8 +35,7 @@ ROUNDS = 10
 _DIGITS = "0123456789"
 _HEX = "0123456789abcdef"
 _LOWER = "abcdefghijklmnopqrstuvwxyz"
-_FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
-_DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST_DAY
+_YEARS = (1900, 2100)
 
 
 class Feistel:
@@ -104,12 +109,20 @@ def _card(f: Feistel, text: str, back: bool) -> str | None:
     return _refill(text, next(head + c for c in _DIGITS if luhn(head + c)))
 
 
+# Calling codes of one and two digits; all others have three.
+CALLING_CODES = (
+    "1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49",
+    "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86",
+    "90", "91", "92", "93", "94", "95", "98",
+)
+# End of fixed values.
+
+
 def _phone(f: Feistel, text: str, back: bool) -> str | None:
     digits = _only_digits(text)
     if not 10 <= len(digits) <= 15:
         return None
-    keep = len(_only_digits(text.replace("(", " ").split(" ")[0].split("-")[0].split(".")[0])) if text[0] == "+" else 0
-    keep = keep if keep <= 3 else 2
+    keep = next((n for n in (1, 2) if digits[:n] in CALLING_CODES), 3) if text[0] == "+" else 0
     return _refill(text, digits[:keep] + f.digits(digits[keep:], _DIGITS, "phone", back))
 
 
@@ -144,24 +157,31 @@ def _iban(f: Feistel, text: str, back: bool) -> str | None:
     return "".join(c if c == " " else next(new) for c in text)
 
 
-def _date(order: str) -> Callable[[Feistel, str, bool], str | None]:
-    def swap(f: Feistel, text: str, back: bool) -> str | None:
-        parts = re.split(r"([./-])", text)
-        numbers, marks = parts[::2], parts[1::2]
-        if marks[0] != marks[1]:
-            return None
-        at = {k: i for i, k in enumerate(order)}
-        try:
-            day = datetime.date(*(int(numbers[at[k]]) for k in "ymd")).toordinal() - _FIRST_DAY
-        except ValueError:
-            return None
-        if not 0 <= day < _DAYS:
-            return None
-        new = datetime.date.fromordinal(_FIRST_DAY + f.permute(day, _DAYS, b"date", back))
-        said = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
-        return said[order[0]] + marks[0] + said[order[1]] + marks[1] + said[order[2]]
+def _is_day(year: int, month: int, day: int) -> bool:
+    return 1 <= month <= 12 and 1 <= day <= calendar.monthrange(year, month)[1]
+
 
-    return swap
+def _date(f: Feistel, text: str, back: bool) -> str | None:
+    """Year first: the days themselves are permuted.  Year last: what reads as a date either way, within fields of as many digits."""
+    a, b, c = re.split(r"[./-]", text)
+    marks = [m for m in text if not m.isdigit()]
+    if len(a) == 4:
+        if not (_YEARS[0] <= int(a) < _YEARS[1] and _is_day(int(a), int(b), int(c))):
+            return None
+        first, end = (datetime.date(y, 1, 1).toordinal() for y in _YEARS)
+        day = f.permute(datetime.date(int(a), int(b), int(c)).toordinal() - first, end - first, b"date", back)
+        return datetime.date.fromordinal(first + day).strftime(f"%Y{marks[0]}%m{marks[1]}%d")
+    sound = lambda p, q, y: _is_day(y, q, p) or _is_day(y, p, q)
+    if not (_YEARS[0] <= int(c) < _YEARS[1] and sound(int(a), int(b), int(c))):
+        return None
+    most = [10 if len(x) == 1 else 32 for x in (a, b)]
+    value = ((int(c) - _YEARS[0]) * most[0] + int(a)) * most[1] + int(b)
+    while True:  # walk over what is no date
+        value = f.permute(value, (_YEARS[1] - _YEARS[0]) * most[0] * most[1], f"date {len(a)} {len(b)}".encode(), back)
+        rest, q = divmod(value, most[1])
+        year, p = divmod(rest, most[0])
+        if sound(p, q, _YEARS[0] + year):
+            return f"{p:0{len(a)}d}{marks[0]}{q:0{len(b)}d}{marks[1]}{_YEARS[0] + year}"
 
 
 def _secret(f: Feistel, text: str, back: bool) -> str | None:
@@ -188,9 +208,8 @@ def _email(f: Feistel, text: str, back: bool) -> str | None:
 _KINDS: list[tuple[str, re.Pattern, Callable[[Feistel, str, bool], str | None]]] = [
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), _iban),
     ("secret", re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"), _secret),
-    ("date", re.compile(r"(?<![\d./-])\d{4}([-/.])\d{2}\1\d{2}(?!\d|[./-]\d)"), _date("ymd")),
-    ("date", re.compile(r"(?<![\d./-])\d{1,2}([/.-])\d{1,2}\1\d{4}(?!\d|[./-]\d)"), _date("dmy")),
-    ("date", re.compile(r"(?<![\d./-])\d{1,2}([/.-])\d{1,2}\1\d{4}(?!\d|[./-]\d)"), _date("mdy")),
+    ("date", re.compile(r"(?<![\d./-])\d{4}([-/.])\d{2}\1\d{2}(?!\d|[./-]\d)"), _date),
+    ("date", re.compile(r"(?<![\d./-])\d{1,2}([/.-])\d{1,2}\1\d{4}(?!\d|[./-]\d)"), _date),
     ("ip", re.compile(r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"), _ip),
     ("ssn", re.compile(r"(?<![\d-])\d{3}-\d{2}-\d{4}(?!\d|-\d)"), _ssn),
     ("card", re.compile(r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"), _card),

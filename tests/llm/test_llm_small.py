@@ -383,6 +383,67 @@ def test_pseudonymise_rows(docs, odd):
     assert len(spans) == sum(r.n_values for r in pairs)
 
 
+def test_dates_are_permuted_within_their_shape():
+    """Every date of a shape: images are dates of the shape, all different, and come back."""
+    import datetime
+
+    days = [datetime.date.fromordinal(n) for n in range(datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal())]
+    shapes = {}
+    for d in days:
+        for text in (f"{d:%Y-%m-%d}", f"{d:%d/%m/%Y}", f"{d:%m/%d/%Y}", f"{d.day}/{d.month}/{d.year}", f"{d.month}.{d.day}.{d.year}"):
+            shapes.setdefault(tuple(map(len, text.replace(".", "/").replace("-", "/").split("/"))), set()).add(text.replace(".", "/"))
+    assert len(shapes) == 5
+    for shape, texts in shapes.items():
+        texts = sorted(texts)[:: 1 if len(texts) < 10_000 else 7]
+        images = {t: pii._date(KEY, t, False) for t in texts}
+        assert len(set(images.values())) == len(texts)
+        for t, image in images.items():
+            assert tuple(map(len, image.replace("-", "/").split("/"))) == shape and pii._date(KEY, image, True) == t
+
+
+def test_whole_domain_of_a_shape_is_its_image():
+    texts = {f"{p}/{q}/{y}" for y in range(1900, 2100) for p in range(1, 10) for q in range(1, 10)}
+    assert {pii._date(KEY, t, False) for t in texts} == texts
+
+
+def test_phones_are_linked_over_spellings():
+    digits = lambda t: "".join(c for c in t if c.isdigit())
+    for spellings in (["+1 (415) 555-1234", "+14155551234", "+1 415.555.1234", "+1-415-555-1234"], ["+39 344 0405580", "+393440405580"], ["+351 912 345 678", "+351912345678"]):
+        images = {digits(pii.pseudonymise_text(f"call {t} now", KEY)[0]) for t in spellings}
+        assert len(images) == 1 and images != {digits(spellings[0])}
+    assert digits(pii._phone(KEY, "(415) 555-1234", False)) == digits(pii._phone(KEY, "+1 (415) 555-1234", False))[1:]
+
+
+def brute_values(text, key):
+    """Values found by trying every start and end of short texts against the checks alone."""
+    found = []
+    for i in range(len(text)):
+        for j in range(len(text), i, -1):
+            t = text[i:j]
+            if not (t[0].isalnum() or t[0] in "+(") or not t[-1].isalnum() or (i and (text[i - 1].isalnum() or text[i - 1] in "+.-/")) or (j < len(text) and text[j].isalnum()):
+                continue
+            if all(c in "0123456789 -" for c in t) and t.replace(" ", "").replace("-", "").isdigit() and len(t) - len("".join(t.split())) < 5 and pii._card(key, t, False):
+                found.append((i, j, "card"))
+            elif t.count(".") == 3 and all(p.isdigit() and len(p) < 4 for p in t.split(".")) and pii._ip(key, t, False):
+                found.append((i, j, "ip"))
+            elif len(t) == 11 and t[3] == t[6] == "-" and t.replace("-", "").isdigit() and pii._ssn(key, t, False):
+                found.append((i, j, "ssn"))
+            else:
+                continue
+            break
+    return found
+
+
+def test_finds_equal_brute_force():
+    rng = random.Random(8)
+    values = ["4952935900253052", "4012 8888 8888 1881", "169.122.221.182", "123-45-6789", "4111-1111-1111-1111"]
+    noise = ["word", "x1", "999.1.2.3", "000-12-3456", "4111 1111 1111 1112", "a.b", "v1.2", "("]
+    for _ in range(300):
+        parts = [rng.choice(values + noise) for _ in range(rng.randint(1, 4))]
+        text = " and ".join(parts)
+        assert [(s, e, k) for s, e, k, _ in pii.find_values(text, KEY)] == brute_values(text, KEY), text
+
+
 # -- 7 -------------------------------------------------------------------------
 
 
