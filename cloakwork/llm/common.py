@@ -12,6 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -96,14 +97,24 @@ def sub_batches(batch: pa.RecordBatch, column: str = "text", most: int = 8 << 20
         yield batch.slice(start)
 
 
-def bounded_sample(df: DataFrame, key: str, most: int, rows: int) -> DataFrame:
-    """At most ``most`` rows of ``df``, those with the smallest hashes of ``key``.
+def bounded_sample(df: DataFrame, key: str, most: int, group: str) -> DataFrame:
+    """At most ``most`` rows of each ``group`` of ``df``, one of each ``key``: those with the smallest hashes of the key.
 
-    ``rows`` is (about) how many rows there are.  Rows whose hash lies beyond
-    the share that is needed, with room to spare, are dropped where they are
-    read, so tasks send some three times ``most`` rows in all, not each so many.
+    Rows whose hash lies beyond the share of their group that is needed, with
+    room to spare, are dropped where they are read, so tasks send some three
+    times ``most`` rows of a group in all, not each so many.  How many rows a
+    group has goes to the driver, so groups must be few (languages, classes).
     """
     span = 1 << 40
+    rows = {r[0]: r[1] for r in df.groupBy(group).count().collect()}
     place = F.pmod(F.xxhash64(key), F.lit(span))
-    share = 1.0 if rows <= 3 * most else 3 * most / rows
-    return df.where(place < int(share * span)).orderBy(place, key).limit(most)
+    limit = F.lit(span)
+    for value, n in rows.items():
+        if n > 3 * most:
+            limit = F.when(F.col(group) == value, F.lit(int(3 * most / n * span))).otherwise(limit)
+    place_col, nth = fresh(df, "place"), fresh(df, "nth")
+    near = df.withColumn(place_col, place).where(F.col(place_col) < limit)
+    others = [F.xxhash64(c) for c in df.columns if c != key]
+    one = near.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(*others))).where(F.col(nth) == 1)
+    first = one.withColumn(nth, F.row_number().over(Window.partitionBy(group).orderBy(place_col, key))).where(F.col(nth) <= most)
+    return first.drop(place_col, nth)

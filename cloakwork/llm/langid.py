@@ -19,13 +19,17 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, crc_bucket, sub_batches
 
-#: Rows that training takes at most, those with the smallest hashes of their ids.
-SAMPLE_ROWS = 4000
+#: Rows of each language that training takes at most, those with the smallest hashes of their ids.
+SAMPLE_ROWS = 1000
 BUCKETS = 1 << 15
 DIMENSIONS = 16
 EPOCHS = 5
 #: Steps that training takes at least, over however many rows.
 LEAST_STEPS = 300
+#: A rare language's rows are taken so often at most, to come up to the most frequent one.
+MOST_REPEATS = 50
+#: Rows of a language from which on every fifth is kept for calibration.
+CALIBRATED_ROWS = 25
 #: Accuracy that texts which are not rejected reach on the calibration part.
 ACCEPTED_ACCURACY = 0.995
 _BLOCK = 1 << 19
@@ -108,8 +112,11 @@ def train_bags(bags: list[tuple[np.ndarray, np.ndarray]], langs: list[str], *, b
     weights = rng.normal(0, 0.3, (dimensions, k))
     bias = np.zeros(k)
     order = rng.permutation(len(bags))
-    held = order[: len(order) // 5] if len(order) >= 50 else order[:0]
-    fit = order[len(held) :]
+    each = [order[y[order] == i] for i in range(k)]
+    held = np.concatenate([rows[: len(rows) // 5 if len(rows) >= CALIBRATED_ROWS else 0] for rows in each])
+    fits = [rows[len(rows) // 5 if len(rows) >= CALIBRATED_ROWS else 0 :] for rows in each]
+    most = max(map(len, fits))
+    fit = np.concatenate([np.tile(rows, min(MOST_REPEATS, most // len(rows))) for rows in fits])
 
     def means(part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         ids = np.concatenate([bags[i][0] for i in part])
@@ -151,11 +158,13 @@ def train_bags(bags: list[tuple[np.ndarray, np.ndarray]], langs: list[str], *, b
 def identify(docs: DataFrame, *, hold_out: int = 4, held_remainder: int = 2, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Predict the language of every whole text.
 
-    Learns from text and lang of at most ``sample_rows`` rows whose lang is not
-    null and whose crc32 of the id, modulo ``hold_out``, is not
-    ``held_remainder``, whole texts, of which tasks send bags of buckets to the
-    driver, a bucket at most once for each row.  Returns doc_id, held_out, lang_pred, score (calibrated probability) and rejected
-    (score under the calibrated threshold).
+    Learns from text and lang of at most ``sample_rows`` rows of each lang, one
+    of each id, whose lang is not null and whose crc32 of the id, modulo
+    ``hold_out``, is not ``held_remainder``, whole texts, of which tasks send
+    bags of buckets to the driver, a bucket at most once for each row.  So
+    every lang that has such a row with a letter is learned.  Returns doc_id,
+    held_out, lang_pred, score (calibrated probability) and rejected (score
+    under the calibrated threshold).
 
     A null text, or one without a letter, or any where nothing was learned, is
     'und' with score 0 and rejected.  Null ids are not held out, and not learned
@@ -165,8 +174,7 @@ def identify(docs: DataFrame, *, hold_out: int = 4, held_remainder: int = 2, sam
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     bucket = crc_bucket("doc_id", hold_out)
-    open_ = rows.where(F.col("lang").isNotNull() & (bucket != held_remainder))
-    usable = open_.where(F.col("text").rlike(r"\p{L}"))
+    usable = rows.where(F.col("lang").isNotNull() & (bucket != held_remainder) & F.col("text").rlike(r"\p{L}"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -174,9 +182,8 @@ def identify(docs: DataFrame, *, hold_out: int = 4, held_remainder: int = 2, sam
                 bags = [bag(t) for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "ids": pa.array([i.astype(np.int32) for i, _ in bags], pa.list_(pa.int32())), "times": pa.array([n.astype(np.int32) for _, n in bags], pa.list_(pa.int32()))})
 
-    wanted = bounded_sample(usable.select("doc_id"), "doc_id", sample_rows, open_.count()).distinct()
-    bags = usable.join(F.broadcast(wanted), "doc_id").select("doc_id", "lang", "text").mapInArrow(hashed, "doc_id long, lang string, ids array<int>, times array<int>")
-    sample = bounded_sample(bags, "doc_id", sample_rows, 0).select("lang", "ids", "times").toArrow()
+    bags = bounded_sample(usable, "doc_id", sample_rows, "lang").select("doc_id", "lang", "text").mapInArrow(hashed, "doc_id long, lang string, ids array<int>, times array<int>")
+    sample = bags.toArrow().sort_by("doc_id")
     model = train_bags([(i.values.to_numpy(), n.values.to_numpy()) for i, n in zip(sample.column("ids"), sample.column("times"), strict=True)], sample.column("lang").to_pylist())
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -20,9 +20,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .bpe import Recent
-from .common import bounded_sample, crc_bucket, fresh, text_view
+from .common import bounded_sample, crc_bucket, fresh, sub_batches, text_view
 
 #: Labelled documents of each class that training takes at most, those with the smallest hashes of their ids.
 SAMPLE_PER_CLASS = 4000
@@ -72,19 +73,17 @@ def text_terms(text: str | None) -> list[int]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> list[tuple[np.ndarray, int]]:
-    """Term buckets and label of a bounded sample, both classes alike; duplicates and null labels are left out."""
-    wanted = None
+    """Term buckets and label of a bounded sample, both classes alike; one row of each id; null labels are left out."""
     thin = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    there = {r["toxic"]: r["count"] for r in thin.groupBy("toxic").count().collect()}  # two rows
-    for value in (0, 1):
-        part = bounded_sample(thin.where(F.col("toxic") == value), "doc_id", per_class, there.get(value, 0))
-        wanted = part if wanted is None else wanted.unionByName(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")  # 2 x per_class rows at most
+    wanted = bounded_sample(thin, "doc_id", per_class, "toxic")
+    found = docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id")  # 2 x per_class ids at most
+    rows = found.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))).where("nth = 1")  # of rows with one id, one
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            terms = [np.array(text_terms(t), np.int32) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "terms": pa.array(terms, pa.list_(pa.int32()))})
+        for whole in batches:
+            for batch in sub_batches(whole):
+                terms = [np.array(text_terms(t), np.int32) for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "terms": pa.array(terms, pa.list_(pa.int32()))})
 
     table = rows.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, terms array<int>").toArrow().sort_by("doc_id")
     offsets = [c.offsets.to_numpy() for c in table.column("terms").chunks]

@@ -116,6 +116,49 @@ def test_bags_of_long_texts(monkeypatch):
     assert all((a == b).all() for a, b in zip(langid.bag(text), whole, strict=True))
 
 
+def brute_probabilities(model, text):
+    """Mean of the buckets' rows, pair by pair and triple by triple, one character at a time."""
+    points = [ord(c) if c.isalpha() else 32 for c in f" {text.lower()}  "]
+    total, n = np.zeros(len(model.languages)), 0
+    for a, b, c in zip(points, points[1:], points[2:]):
+        pair = (a * 0x9E3779B1 ^ b * 0x85EBCA77) & 0xFFFFFFFF
+        triple = (pair * 0xC2B2AE3D ^ c * 0x27D4EB2F) & 0xFFFFFFFF
+        for h in (pair, triple):
+            total += model.table[(h ^ h >> 15) & len(model.table) - 1]
+            n += 1
+    z = (total / n + model.bias) / model.temperature
+    e = np.exp(z - z.max())
+    return e / e.sum()
+
+
+def test_language_scores_equal_brute_force(docs):
+    rows = docs.where("lang is not null and text is not null").limit(120).collect()
+    model = langid.train([r.text for r in rows], [r.lang for r in rows])
+    for text in ["Ein Wort", "a", "É!", rows[0].text[:500], rows[1].text[:300]]:
+        assert np.allclose(model.probabilities([text])[0], brute_probabilities(model, text), atol=1e-6)
+
+
+def test_rare_languages_are_learned(spark):
+    """Twelve rows of a language among 6,000, and one id on many rows."""
+    rng = random.Random(2)
+    common = [f"alpha{k} beta gamma the house and water" for k in range(50)]
+    rare = ["það er hús við ána", "ég á þrjá hesta", "hún fór út í búð", "við þökkum fyrir það"]
+    rows = [(i, " ".join(rng.sample(common, 3)), "en") for i in range(6000)]
+    rows += [(10_000 + i, f"{rng.choice(rare)} {rng.choice(rare)}", "is") for i in range(20)]
+    rows += [(77_771, "der hund und die katze", "de")] * 3000
+    got = {(r.doc_id, r.lang_pred) for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4), sample_rows=300).collect()}
+    assert sum((10_000 + i, "is") in got for i in range(20)) >= 19
+    assert sum((i, "en") in got for i in range(6000)) >= 5990 and (77_771, "de") in got
+    sample = common_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 300)
+    assert sample == {"en": 300, "is": 20, "de": 1}
+
+
+def common_sample(df, most):
+    from cloakwork.llm.common import bounded_sample
+
+    return {r.lang: r["count"] for r in bounded_sample(df, "doc_id", most, "lang").groupBy("lang").count().collect()}
+
+
 def test_language_scores_are_calibrated():
     rng = random.Random(2)
     texts = ["".join(rng.choice("abc" if k % 2 else "cde") for _ in range(12)) for k in range(400)]
@@ -164,6 +207,25 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r.predicted == r.toxic for r in rows) >= 0.95 * len(rows)
 
 
+def test_toxicity_scores_equal_brute_force(docs, labels):
+    toxic = {r.doc_id: r.toxic for r in labels.where("toxic is not null").collect()}
+    sample = [(np.array(toxicity.text_terms(r.text), np.int32), toxic[r.doc_id]) for r in docs.collect() if r.doc_id in toxic]
+    model = toxicity.train(sample)
+    texts = [r.text or "" for r in docs.limit(40).collect()]
+    got = [r[0] for r in docs.sparkSession.createDataFrame([(t,) for t in texts], "text string").select(toxicity.score_column(docs, model)).collect()]
+    place = {b: i for i, b in enumerate(model.buckets.tolist())}
+    for text, score in zip(texts, got, strict=True):
+        have = [place[t] for t in toxicity.text_terms(text) if t in place]
+        z = model.bias + sum(model.weights[i] for i in have) + sum(float(model.vectors[i] @ model.vectors[j]) for i in have for j in have if i < j)
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_toxicity_takes_one_row_of_each_id(spark):
+    docs = spark.createDataFrame([(i % 30, f"text {i % 30}") for i in range(15_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    assert len(toxicity.labelled_sample(docs, labels)) == 30 and len(toxicity.labelled_sample(docs, labels, 5)) == 10
+
+
 def test_toxicity_odd_rows(spark, odd, labels):
     empty = labels.limit(0)
     rows = toxicity.toxicity(odd, empty).collect()
