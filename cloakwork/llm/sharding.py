@@ -1,17 +1,23 @@
 """Shards of nearly equal bytes by minimax contiguous partition.
 
-Rows with equal texts are one atomic group.  Groups lie in the order of a hash
-of their text, over a fixed number of cells of the hash's range; the cells'
-sizes, in that order, are the atoms that are cut into shards.  The smallest
+Rows with equal texts are one atomic group.  Groups fall by a hash of their
+text into a fixed number of cells, which are the atoms; with fewer groups than
+cells most cells are one group.  Atoms are ordered in as many stripes as there
+are shards: by size, round by round, the largest of a round goes to the stripe
+that has least; so stripes come out nearly equal, and small atoms lie where
+cuts fall.  This order is cut.  The smallest
 capacity for which greedy filling needs no more than the wanted shards is
 found by binary search, each guess checked greedily over the prefix sums; then
-the cuts are made there.  Only DataFrame and SQL functions are used.
+the cuts are made there, each as near to equal shares as that capacity leaves
+room for (greedy filling would starve the last shard).  Only DataFrame and SQL
+functions are used.
 
 The cells are a bounded number whatever the input, so one array of prefix sums
 holds them; equal texts are always in one cell.  Rows get their slots by
 counting within (shard, lane) and adding the lanes before, where the lane comes
-from the row's id, so that neither a shard nor a group of copies that holds a
-third of all rows is numbered in one task.
+from the row's place in the checkpoint, so that neither a shard nor a group of
+copies that holds a third of all rows, nor one repeated row, is numbered in one
+task.
 """
 
 from __future__ import annotations
@@ -49,6 +55,17 @@ def _filled(capacity: str, steps: int) -> str:
     )
 
 
+def in_stripes(atoms: DataFrame, stripes: int) -> DataFrame:
+    """(cell, bytes, nth, stripe): atoms by falling size, dealt so that the stripes' sums come out nearly equal."""
+    packed = atoms.agg(F.sort_array(F.collect_list(F.struct("bytes", "cell")), asc=False).alias("a"))
+    start = f"named_struct('lanes', transform(sequence(1, {stripes}), s -> named_struct('held', 0L, 'stripe', s)), 'out', cast(array() as array<int>))"
+    lanes = f"transform(array_sort(s.lanes), (x, i) -> named_struct('held', x.held + coalesce(get(a, r * {stripes} + i).bytes, 0L), 'stripe', x.stripe))"
+    rounds = f"sequence(0, int((size(a) - 1) div {stripes}))"
+    dealt = f"aggregate({rounds}, {start}, (s, r) -> named_struct('lanes', {lanes}, 'out', concat(s.out, transform(array_sort(s.lanes), x -> x.stripe))), s -> s.out)"
+    one = packed.where("size(a) > 0").selectExpr("a", f"{dealt} as stripe")
+    return one.selectExpr("stripe", "posexplode(a) as (nth, x)").selectExpr("x.cell as cell", "x.bytes as bytes", "nth", "stripe[nth] as stripe")
+
+
 def minimax_cuts(atoms: DataFrame, shards: int, most_atoms: int) -> DataFrame:
     """Cut ordered atoms into at most ``shards`` runs with the smallest possible largest sum.
 
@@ -63,14 +80,34 @@ def minimax_cuts(atoms: DataFrame, shards: int, most_atoms: int) -> DataFrame:
     arrays = packed.selectExpr("transform(a, x -> x.cell) as cells", "concat(array(0L), transform(a, x -> x.upto)) as prefix", f"greatest(largest, (total + {shards - 1}L) div {shards}L) as low", "largest")
     needs = f"aggregate(sequence(1, {shards}), 0L, (p, k) -> {_filled('{m}', steps)}) >= size(prefix) - 1"
     found = arrays.selectExpr("cells", "prefix", f"{_search('low', 'low + largest', needs, 63)} as capacity")
-    ends = found.selectExpr("cells", "capacity", f"{_walk(shards, steps)} as ends")
+    firsts = found.selectExpr("*", f"{_earliest(shards, steps)} as firsts")
+    ends = firsts.selectExpr("cells", "capacity", f"{_even(shards, steps)} as ends")
     return ends.selectExpr("capacity", "transform(filter(array_distinct(ends), e -> e > 0), e -> cells[int(e) - 1]) as cuts")
 
 
-def _walk(shards: int, steps: int) -> str:
-    """SQL of the atoms that lie before each cut under ``capacity``."""
-    step = _filled("capacity", steps)
-    return f"aggregate(sequence(1, {shards}), array(0L), (c, k) -> concat(c, transform(slice(c, -1, 1), p -> {step})))"
+def _earliest(shards: int, steps: int) -> str:
+    """SQL of how few atoms may lie before each cut, the last one first, so that the runs behind it stay within ``capacity``."""
+    mid = "(b.lo + shiftright(b.hi - b.lo, 1))"
+    back = (
+        f"aggregate(sequence(1, {steps}), named_struct('lo', 0L, 'hi', p), (b, j) -> "
+        f"if(b.lo >= b.hi, b, if(prefix[int(p)] - prefix[int{mid}] <= capacity, named_struct('lo', b.lo, 'hi', {mid}), named_struct('lo', {mid} + 1L, 'hi', b.hi))), b -> b.lo)"
+    )
+    return f"aggregate(sequence(1, {shards}), array(size(prefix) - 1L), (c, k) -> concat(c, transform(slice(c, -1, 1), p -> {back})))"
+
+
+def _even(shards: int, steps: int) -> str:
+    """SQL of the atoms that lie before each cut: as near to equal shares as ``capacity`` and the cuts that follow leave room for.
+
+    Every run has an atom where there are as many atoms as shards.
+    """
+    n, total = "(size(prefix) - 1L)", "prefix[size(prefix) - 1]"
+    mid = "(b.lo + shiftright(b.hi - b.lo + 1L, 1))"
+    share = f"({total} * k div {shards})"
+    under = f"aggregate(sequence(1, {steps}), named_struct('lo', 0L, 'hi', {n}), (b, j) -> if(b.lo >= b.hi, b, if(prefix[int{mid}] <= {share}, named_struct('lo', {mid}, 'hi', b.hi), named_struct('lo', b.lo, 'hi', {mid} - 1L))), b -> b.lo)"
+    low = f"greatest(firsts[{shards} - k], least({n}, p + 1L))"
+    near = f"transform(array({under}), i -> if(i < {n} and prefix[int(i) + 1] - {share} < {share} - prefix[int(i)], i + 1L, i))[0]"
+    cut_ = f"greatest({low}, least({near}, {_filled('capacity', steps)}, greatest({low}, {n} - ({shards} - k))))"
+    return f"concat(aggregate(sequence(1, {shards}), array(0L), (c, k) -> if(k = {shards}, c, concat(c, transform(slice(c, -1, 1), p -> {cut_})))), array({n}))"
 
 
 def shard_rows(docs: DataFrame, shards: int = 40, *, cells: int = CELLS, lanes: int = LANES, row_bytes: int = ROW_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,16 +145,20 @@ def shard_rows(docs: DataFrame, shards: int = 40, *, cells: int = CELLS, lanes:
         else:
             break
     rest = atoms.where(~F.col("cell").isin(alone)) if alone else atoms
-    cuts = minimax_cuts(rest, shards - len(alone), cells).head()["cuts"]  # one row, at most as many cells as shards
+    stripes = shards - len(alone)
+    ordered = cut(in_stripes(rest, stripes).select("cell", "bytes", (F.col("stripe").cast("long") * cells + F.col("nth")).alias("at")))
+    cuts = minimax_cuts(ordered.select(F.col("at").alias("cell"), "bytes"), stripes, cells).head()["cuts"]  # one row, at most as many cuts as shards
     shard = F.lit(0)
     for last in cuts[:-1]:
-        shard = shard + (F.col("cell") > last).cast("int")
+        shard = shard + (F.col("at") > last).cast("int")
+    homes = ordered.select("cell", shard.alias("shard"))
     for k, cell in enumerate(alone):
-        shard = F.when(F.col("cell") == cell, shards - 1 - k).otherwise(shard)
-    placed = rows.select("doc_id", "size", "text_crc32", shard.alias("shard"), F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(lanes)).cast("int").alias("lane"))
+        homes = homes.unionByName(homes.sparkSession.range(1).select(F.lit(cell).alias("cell"), F.lit(shards - 1 - k).alias("shard")))
+    placed = rows.withColumn("place", F.monotonically_increasing_id()).join(F.broadcast(homes), "cell")  # ``cells`` rows at most
+    placed = placed.select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("place"), F.lit(lanes)).cast("int").alias("lane"), "place")
     before = Window.partitionBy("shard").orderBy("lane").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("shard", "lane").count().select("shard", "lane", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("shard", "lane").orderBy("doc_id", "text_crc32", "size")
+    within = Window.partitionBy("shard", "lane").orderBy("doc_id", "text_crc32", "place")
     return (
         placed.select("*", F.row_number().over(within).alias("n"))
         .join(F.broadcast(offsets), ["shard", "lane"])  # shards x lanes rows at most

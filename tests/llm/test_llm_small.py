@@ -295,6 +295,13 @@ def test_shards(docs, odd):
     assert sharding.shard_rows(odd.limit(0), 4).count() == 0
 
 
+def test_forty_shards_are_even(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    loads = [r.b for r in sharding.shard_rows(docs, 40).groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    mean = sum(loads) / 40
+    assert len(loads) == 40 and min(loads) >= 0.95 * mean and max(loads) <= 1.08 * mean, (min(loads) / mean, max(loads) / mean)
+
+
 def test_one_large_group_leaves_the_others_even(spark):
     rows = [(i, "hot" * 50) for i in range(300)] + [(1000 + i, f"text {i} " * 5) for i in range(600)]
     loads = {r.shard: r.b for r in sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string"), 8).groupBy("shard").agg(F.sum("size").alias("b")).collect()}
