@@ -43,6 +43,8 @@ RATES = {
     "dup_line_rate": ("n_dup_lines / nullif(n_lines, 0)", 0.1, False),
     "repeat_rate": ("n_repeat_words / nullif(n_words, 0)", 0.05, False),
 }
+#: Up to so many groups, their fences (some 100 bytes each) go to every task, so that a large group is not dealt by its name.
+LISTED_GROUPS = 100_000
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
@@ -142,7 +144,9 @@ def inside(rows: DataFrame, own: DataFrame, wide: DataFrame, min_rows: int) -> D
     fences = [c for c in own.columns if c not in ("lang", "source", "n")]
     both = own.join(wide.withColumnsRenamed({f: f"w_{f}" for f in ["n", *fences]}), "lang")  # groups alone; one that is missing has no row to keep
     bounds = both.select("lang", "source", *(F.when(F.col("n") >= min_rows, F.col(f)).when(F.col("w_n") >= min_rows, F.col(f"w_{f}")).alias(f) for f in fences))
-    joined = rows.join(bounds, ["lang", "source"], "left")
+    bounds = cut(bounds)  # one row for each group
+    few = bounds.limit(LISTED_GROUPS + 1).count() <= LISTED_GROUPS
+    joined = rows.join(F.broadcast(bounds) if few else bounds, ["lang", "source"], "left")
     kept = F.col("kept")
     for f in fences:
         rate = F.expr(RATES[f[3:]][0])

@@ -5,7 +5,7 @@ for pieces that continue it.  Each node has a failure link and, computed
 beforehand, how many pieces are given out when it is followed; so greedy
 longest-match-first counts come from one pass over a word's bytes, and no
 piece is built.  All words that a batch holds for the first time run through
-the automaton side by side, a byte at a time.
+the automaton side by side, a byte at a time; very long ones one by one.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from .bpe import Recent, byte_symbols
 from .common import sub_batches, text_view
 
 _SPACE = byte_symbols()[32]
+#: Words of more bytes run alone, so that few of them don't hold up the others' steps.
+LONG_WORD = 512
 
 
 def pieces_of(path: str) -> tuple[set[bytes], set[bytes]]:
@@ -56,6 +58,7 @@ class Automaton:
                     node = child[at]
                 if piece:
                     final[node] = True
+        self.child = child
         n = len(parent)
         depth = np.zeros(n, np.int64)
         for v in range(2, n):
@@ -74,6 +77,7 @@ class Automaton:
             if z >= 0:
                 fail[v], pops[v] = child[z << 8 | label[v]], popped
         self.fail, self.pops = np.array(fail, np.int64), np.array(pops, np.int64)
+        self.fail_list, self.pops_list = fail, pops
         keys = np.array(sorted(child), np.int64)
         self.keys, self.to = keys, np.array([child[k] for k in keys.tolist()], np.int64)
         self.first = np.full(256, -1, np.int64), np.full(256, -1, np.int64)  # the roots' children, most often asked for
@@ -88,6 +92,11 @@ class Automaton:
 
     def count(self, words: list[bytes]) -> np.ndarray:
         """Pieces of each word; -1 for a word that the vocabulary cannot spell; 0 for an empty one."""
+        if any(len(w) > LONG_WORD for w in words):
+            out = np.array([self.count_one(w) if len(w) > LONG_WORD else 0 for w in words], np.int64)
+            short = [i for i, w in enumerate(words) if len(w) <= LONG_WORD]
+            out[short] = self.count([words[i] for i in short])
+            return out
         if not words:
             return np.zeros(0, np.int64)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -121,6 +130,23 @@ class Automaton:
         return out
 
 
+    def count_one(self, word: bytes) -> int:
+        """The same for one word, in time that grows with its length alone."""
+        state, count = 0, 0
+        child, fail, pops = self.child.get, self.fail_list, self.pops_list
+        for b in word:
+            while (nxt := child(state << 8 | b)) is None:
+                count += pops[state]
+                state = fail[state]
+                if state < 0:
+                    return -1
+            state = nxt
+        while state > 1:
+            count += pops[state]
+            state = fail[state]
+        return -1 if state < 0 else count
+
+
 _LOADED: dict[str, tuple[Automaton, Recent]] = {}
 
 

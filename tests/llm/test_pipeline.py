@@ -45,6 +45,31 @@ def test_nothing_is_dropped_where_nothing_is_learned(spark, tmp_path):
         assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing names; and no rows at all."""
+    long = " ".join(f"word{i}" for i in range(40_000))
+    texts = [None, "", " \n", "one", "same text of six words here", "same text of six words here", long, long + " tail", "call +1 415 555 1234 or 4111 1111 1111 1111"]
+    rows = [(i, t, "en", "s", len(t or ""), 1, 2, 3, 4) for i, t in enumerate(texts)]
+    rows += [rows[5], rows[8], (None, "no id", None, None, 0, 1, 2, 3, 4), (None, None, None, None, None, 1, 2, 3, 4)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score int, `key` int, gone_id int, `we.ird name` int"
+    for label, some in (("odd", rows), ("none", [])):
+        docs = spark.createDataFrame(some, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            columns = docs.columns
+            stage(spark, docs, SMALL).write.parquet(str(tmp_path / label / name))
+            docs = spark.read.parquet(str(tmp_path / label / name))
+            if name == "packing":
+                break
+            assert docs.columns == columns
+            if name == "exact_dedup":
+                assert docs.count() == len({t or "" for _, t, *_ in some})
+            elif name == "ngram_join":
+                assert docs.where("length(text) > 1000").count() == min(1, len(some))
+            elif name == "pii":
+                assert docs.where("text like '%4111 1111%' or text like '%555 1234%'").count() == 0
+        assert (docs.count() > 0) == bool(some)
+
+
 def test_queries_run(spark):
     for name, f in queries.queries().items():
         assert f(spark, SMALL).count() > 0, name
