@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Characters of a snippet on either side of the match.
+AROUND = 40
 MATCHES = "array<struct<off:int,value:string>>"
 
 
@@ -44,7 +46,7 @@ def searched(value: Column, patterns: Sequence[str]) -> Column:
     return hit
 
 
-def snippet(text: Column, off: Column, length: Column, around: int = 40) -> Column:
+def snippet(text: Column, off: Column, length: Column, around: int = AROUND) -> Column:
     """The match with ``around`` characters on either side, on one line."""
     start = F.greatest(F.lit(0), off - around)
     return F.trim(F.translate(F.substr(text, start + 1, off + length + around - start), "\n", " "))

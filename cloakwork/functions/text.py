@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -23,6 +24,11 @@ def _unescape_nfkc(texts):
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", html.unescape(t)))
 
 
+def normalize_text(text: str) -> str:
+    """What ``normalize`` does to one string."""
+    return re.sub(ZERO_WIDTH, "", unicodedata.normalize("NFKC", html.unescape(text)))
+
+
 def normalize(text: Column) -> Column:
     """HTML unescape, NFKC, no zero-width characters; plain ASCII without entities never leaves the JVM's value."""
     return strip_zero_width(_unescape_nfkc(text))

@@ -15,30 +15,36 @@ from . import index
 ORDER = ["file_rel", "seg_ord", "rule_ord", "off"]
 
 
-def occurrences(segments: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, allow: bool = True) -> DataFrame:
+def occurrences(segments: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, allow: bool = True, snippets: bool = False) -> DataFrame:
     """One row per match: file_rel, seg_ord, seg_id, rule_ord, rule, category, strategy, value, off.
 
     All rules are evaluated in one pass over ``segments`` (file_rel, seg_ord,
-    seg_id, text), behind a test that most texts fail; nothing is shuffled.
+    seg_id, text), each behind the letters that every match of it holds; nothing
+    is shuffled.  With ``allow`` matches on a rule's allow list are left out,
+    else a column ``allowed`` marks them.  ``snippets`` adds the match with its
+    surroundings.
     """
     text = F.col("text")
-    any_rule = "|".join(f"(?:{r.regex})" for r in rules)
 
     def hits_of(k: int, r: Rule):
         hits = matching.find_all(text, r.regex)
+        if r.needs:
+            hits = F.when(text.contains(r.needs), hits).otherwise(F.array().cast(matching.MATCHES))
         if allow and r.allow:
             hits = F.filter(hits, lambda m: ~matching.searched(m["value"], r.allow))
-        return F.transform(hits, lambda m: F.struct(F.lit(k).alias("rule_ord"), m["off"].alias("off"), m["value"].alias("value")))
+        marks = [] if allow else [lambda m: matching.searched(m["value"], r.allow).alias("allowed")]
+        marks += [lambda m: matching.snippet(text, m["off"], F.length(m["value"])).alias("snippet")] if snippets else []
+        return F.transform(hits, lambda m: F.struct(F.lit(k).alias("rule_ord"), m["off"].alias("off"), m["value"].alias("value"), *(mark(m) for mark in marks)))
 
     found = [hits_of(k, r) for k, r in enumerate(rules)]
     names, cats, ways = (F.array(*(F.lit(x) for x in xs)) for xs in ([r.name for r in rules], [r.category for r in rules], [r.strategy for r in rules]))
-    hit = segments.where(text.rlike(any_rule)).select("file_rel", "seg_ord", "seg_id", F.explode(F.concat(*found)).alias("m"))
+    hit = segments.select("file_rel", "seg_ord", "seg_id", F.explode(F.concat(*found)).alias("m"))
     return hit.select(
         "file_rel", "seg_ord", "seg_id", "m.rule_ord",
         F.element_at(names, F.col("m.rule_ord") + 1).alias("rule"),
         F.element_at(cats, F.col("m.rule_ord") + 1).alias("category"),
         F.element_at(ways, F.col("m.rule_ord") + 1).alias("strategy"),
-        "m.value", "m.off",
+        "m.value", "m.off", *([] if allow else ["m.allowed"]), *(["m.snippet"] if snippets else []),
     )
 
 
@@ -55,7 +61,11 @@ def first_rule_wins(occ: DataFrame) -> DataFrame:
 
 
 def candidates(occ: DataFrame, most_examples: int = 5) -> DataFrame:
-    """One row per value: value, category, rule, strategy, count, examples; the first sighting decides."""
+    """One row per value: value, category, rule, strategy, count, examples; the first sighting decides.
+
+    ``occ`` is far smaller than the texts; it is written once and read for counts and examples.
+    """
+    occ = index.materialised(occ)
     first = F.struct(*ORDER)
     counted = occ.groupBy("value").agg(F.min_by(F.struct("category", "rule", "strategy"), first).alias("m"), F.count("*").alias("count"), F.min(first).alias("first"))
     top = occ.withColumn("nth", F.row_number().over(Window.partitionBy("value").orderBy(*ORDER))).where(F.col("nth") <= most_examples)

@@ -6,13 +6,17 @@ import tempfile
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def materialised(df: DataFrame) -> DataFrame:
-    """Checkpoint in the cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """Checkpoint in the cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where it is unset and all runs in this process."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="cloakwork-"))
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="cloakwork-"))
     return df.checkpoint(eager=True)
 
 
@@ -21,28 +25,27 @@ def first_sightings(rows: DataFrame, bucket: str, key: str, order: list[str]) ->
     return rows.groupBy(F.col(bucket).alias("bucket"), F.col(key).alias("key")).agg(F.min(F.struct(*order)).alias("first"))
 
 
+def running(rows: DataFrame, order: list) -> DataFrame:
+    """``rows`` with ``rank``, from 0 in ``order``: a range sort, numbered in place; only a count for each partition is gathered."""
+    place = materialised(rows.orderBy(*order).withColumn("at", F.monotonically_increasing_id()))
+    part = F.shiftright("at", 33)
+    before = F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = place.groupBy(part.alias("part")).count().select("part", before.alias("before"))  # one row for each partition
+    numbered = place.withColumn("part", part).join(F.broadcast(starts), "part")
+    return numbered.select(*rows.columns, (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias("rank"))
+
+
 def number_keys(keys: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(bucket, key, n): keys are numbered from 1 in the order of ``first`` within each bucket.
 
     ``known`` (bucket, key, n) is kept; new keys go on after the bucket's
-    largest number.  Rows are range-partitioned by (bucket, first) and numbered
-    in place: only counts per partition and bucket are gathered, so one bucket
-    may hold any number of keys.
+    largest number.  Keys are numbered over all buckets, and a bucket's first
+    number is taken off, so that one bucket may hold any number of keys.
     """
     new = keys
     if known is not None:
         new = keys.join(known.select("bucket", "key"), ["bucket", "key"], "left_anti")
-    place = materialised(new.orderBy("bucket", "first").select("bucket", "key", F.monotonically_increasing_id().alias("at")))
-    part = F.shiftright("at", 33)
-    local = F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
-    counts = place.groupBy(part.alias("part")).count()
-    before = {r["part"]: r["count"] for r in counts.collect()}  # one row for each partition
-    total, offset = 0, F.lit(0)
-    for p in sorted(before):
-        if total:
-            offset = F.when(F.col("part") == p, F.lit(total)).otherwise(offset)
-        total += before[p]
-    ranked = place.select("bucket", "key", part.alias("part"), local.alias("local")).select("bucket", "key", (offset + F.col("local")).cast("long").alias("rank"))
+    ranked = running(new.select("bucket", "key", "first"), ["bucket", "first"]).select("bucket", "key", "rank")
     base = ranked.groupBy("bucket").agg(F.min("rank").alias("base"))
     if known is None:
         return ranked.join(base, "bucket").select("bucket", "key", (F.col("rank") - F.col("base") + 1).alias("n"))

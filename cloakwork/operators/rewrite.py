@@ -1,7 +1,14 @@
-"""Longest-match-first rewriting of segments with an auditable event table."""
+"""Longest-match-first rewriting of segments with an auditable event table.
+
+Rules go to tasks as automata that find all of them in one pass over a text,
+whatever their number.  A map with more rules than a pass takes is dealt to
+several passes, each of which adds its finds to the segments; the last one
+chooses among all finds, so that the result does not depend on the passes.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,15 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import matching
+from ..functions.literals import RuleMatcher, leftmost_longest, worker_cache
 from ..rules import CASE_INSENSITIVE, categories
+from . import index
 
-#: Rules up to this many become one alternation in the JVM; more go to a trie in Python workers.
-ALTERNATION_RULES = 400
-#: Rules that are sent to every task at most.
-MOST_RULES = 500_000
+#: Rules of one pass, which every task gets (some 200 bytes each).
+PASS_RULES = 500_000
 
 EVENT = "orig_off int, orig_len int, anon_off int, anon_len int, from string, to string, category string, mapping_id string"
+_FIND = "start int, n int, k long, to string, category string, id string"
 
 
 def compile_rules(smap: DataFrame, case_insensitive: tuple[str, ...] = CASE_INSENSITIVE) -> DataFrame:
@@ -31,123 +38,60 @@ def longest_first(rules: DataFrame) -> DataFrame:
     return rules.orderBy(F.desc("n"), "cat_ord", "entry_ord")
 
 
-def _gather(rules: DataFrame) -> list:
-    rows = longest_first(rules).limit(MOST_RULES + 1).collect()
-    if len(rows) > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} rules; split the map and rewrite in passes over disjoint value sets")
-    return rows
-
-
-def _lookup(rows: list) -> tuple[dict, dict]:
-    """First rule of each exact value, and of each lower-cased value of the case-insensitive ones."""
-    exact: dict[str, tuple] = {}
-    folded: dict[str, tuple] = {}
-    for k, r in enumerate(rows):
-        (folded if r["ci"] else exact).setdefault(r["from"].lower() if r["ci"] else r["from"], (k, r["to"], r["category"], r["id"]))
-    return exact, folded
-
-
 def apply_rules(segments: DataFrame, rules: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns of ``segments`` with the rewritten text and ``events``.
+    """``segments`` with ``text_col`` rewritten and ``events``, an array of replacements in order.
 
-    At each place, left to right, the longest rule that matches wins; output is
-    never read again.  Case-insensitive rules compare lower-cased.
+    At each place, from left to right, the longest rule that holds there is
+    applied, of several as long the first in map order; a rule of a
+    case-insensitive category holds where the text's lower case is the value's.
+    Offsets count code points.  Null texts have no events.
     """
-    rows = _gather(rules)
-    if not rows:
-        return segments.withColumn("events", F.array().cast(f"array<struct<{_sql(EVENT)}>>"))
-    exact, folded = _lookup(rows)
-    if len(rows) <= ALTERNATION_RULES:
-        return _by_alternation(segments, rows, exact, folded, text_col)
-    return _by_trie(segments, exact, folded, text_col)
-
-
-def _sql(ddl: str) -> str:
-    return ",".join("`{}`:{}".format(*p.split()) for p in ddl.split(", "))
-
-
-def _by_alternation(segments: DataFrame, rows: list, exact: dict, folded: dict, text_col: str) -> DataFrame:
-    pattern = "|".join(f"(?iu:{matching.quote(r['from'])})" if r["ci"] else matching.quote(r["from"]) for r in rows)
-    text = F.col(text_col)
-    kind = "struct<k:int,to:string,category:string,id:string>"
-
-    def table(d: dict):
-        if not d:
-            return F.create_map().cast(f"map<string,{kind}>")
-        return F.map_from_entries(F.array(*(F.struct(F.lit(v), F.struct(F.lit(k).alias("k"), F.lit(to).alias("to"), F.lit(c).alias("category"), F.lit(i).alias("id"))) for v, (k, to, c, i) in d.items())))
-
-    by_exact, by_folded = table(exact), table(folded)
-    late = F.lit(None).cast(kind)
-
-    def rule_of(value):
-        a, b = F.try_element_at(by_exact, value) if exact else late, F.try_element_at(by_folded, F.lower(value)) if folded else late
-        return F.when(b["k"].isNull() | (a["k"] < b["k"]), a).otherwise(b)
-
-    def step(state, m):
-        rule = rule_of(m["value"])
-        anon = m["off"] + state["shift"]
-        event = F.struct(
-            m["off"].alias("orig_off"), F.length(m["value"]).alias("orig_len"), anon.cast("int").alias("anon_off"), F.length(rule["to"]).alias("anon_len"),
-            m["value"].alias("from"), rule["to"].alias("to"), rule["category"].alias("category"), rule["id"].alias("mapping_id"),
-        )
-        return F.struct((state["shift"] + F.length(rule["to"]) - F.length(m["value"])).cast("int").alias("shift"), F.concat(state["out"], F.array(event)).alias("out"))
-
-    start = F.struct(F.lit(0).alias("shift"), F.array().cast(f"array<struct<{_sql(EVENT)}>>").alias("out"))
-    found = segments.withColumn("events", F.aggregate(matching.find_all(text, pattern), start, step, lambda s: s["out"]))
-    gaps = F.split(text, pattern, -1)
-    joined = F.array_join(F.zip_with(gaps, F.transform("events", lambda e: e["to"]), lambda g, t: F.concat(g, F.coalesce(t, F.lit("")))), "")
-    return found.withColumn(text_col, F.when(F.size("events") > 0, joined).otherwise(text))
-
-
-def _trie(values) -> dict:
-    root: dict = {}
-    for v in values:
-        node = root
-        for c in v:
-            node = node.setdefault(c, {})
-        node[""] = v
-    return root
-
-
-def rewrite_text(text: str, exact: dict, folded: dict, tries: tuple[dict, dict]) -> tuple[str, list[tuple]]:
-    """One text with rules in tries; the same contract as the alternation."""
-    low = "".join(l if len(l := c.lower()) == 1 else c for c in text)
-    out, events, i, last, shift = [], [], 0, 0, 0
-    while i < len(text):
-        best = None
-        for trie, table, source in ((tries[0], exact, text), (tries[1], folded, low)):
-            node, j = trie, i
-            while j < len(source) and (node := node.get(source[j])) is not None:
-                j += 1
-                if "" in node and (best is None or (j, -table[node[""]][0]) > (best[0], -best[1][0])):
-                    best = (j, table[node[""]])
-        if best is None:
-            i += 1
-            continue
-        j, (_, to, category, mapping_id) = best
-        events.append((i, j - i, i + shift, len(to), text[i:j], to, category, mapping_id))
-        out += [text[last:i], to]
-        shift += len(to) - (j - i)
-        i = last = j
+    ranked = index.running(rules.select("from", "to", "category", "id", "ci", "cat_ord", "entry_ord", "n"), [F.desc("n"), "cat_ord", "entry_ord"])
+    total, segments = ranked.count(), segments.drop("events")
+    passes = max(1, -(-total // PASS_RULES))
+    for p in range(passes):
+        part = ranked.where((F.col("rank") >= p * PASS_RULES) & (F.col("rank") < (p + 1) * PASS_RULES)) if passes > 1 else ranked
+        rows = [(r["rank"], r["from"], r["to"], r["category"], r["id"], r["ci"]) for r in part.collect()]  # PASS_RULES at most
+        segments = _scan(segments, rows, text_col, first=p == 0, last=p == passes - 1)
+        if p < passes - 1:
+            segments = index.materialised(segments)
+    return segments
+
+
+def rewrite_text(text: str, finds) -> tuple[str, list[tuple]]:
+    """A text with its finds (start, length, rank, to, category, id) applied, and the events."""
+    out, events, last, shift = [], [], 0, 0
+    for start, n, _, to, category, mapping_id in leftmost_longest(finds):
+        events.append((start, n, start + shift, len(to), text[start : start + n], to, category, mapping_id))
+        out += [text[last:start], to]
+        shift += len(to) - n
+        last = start + n
     return "".join([*out, text[last:]]), events
 
 
-def _by_trie(segments: DataFrame, exact: dict, folded: dict, text_col: str) -> DataFrame:
-    shared = segments.sparkSession.sparkContext.broadcast((exact, folded))  # MOST_RULES at most
-    fields = [p.split()[0] for p in EVENT.split(", ")]
+def _scan(segments: DataFrame, rules: list[tuple], text_col: str, first: bool, last: bool) -> DataFrame:
+    """One pass: adds finds to the column ``events``, or, if it is the last, rewrites."""
+    shared, token = segments.sparkSession.sparkContext.broadcast(rules), uuid.uuid4().hex
+    event_type, find_type = T.StructType.fromDDL(EVENT), T.StructType.fromDDL(_FIND)
+    kind = event_type if last else find_type
+    fields = segments.schema.fields if first else segments.schema.fields[:-1]
+    schema = T.StructType([*fields, T.StructField("events", T.ArrayType(kind))])
+    arrow = pa.list_(pa.struct([pa.field(f.name, {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[f.dataType.simpleString()]) for f in kind.fields]))
+    names, kept = [f.name for f in kind.fields], [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        exact, folded = shared.value
-        tries = _trie(exact), _trie(folded)
+        matcher = worker_cache(lambda: RuleMatcher(shared.value), token)
         for batch in batches:
-            made = [(None, []) if t is None else rewrite_text(t, exact, folded, tries) for t in batch.column(text_col).to_pylist()]
-            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-            columns[text_col] = pa.array([t for t, _ in made], pa.string())
-            kind = pa.struct([pa.field(f, pa.string() if f in ("from", "to", "category", "mapping_id") else pa.int32()) for f in fields])
-            columns["events"] = pa.array([[dict(zip(fields, e, strict=True)) for e in es] for _, es in made], pa.list_(kind))
-            yield pa.RecordBatch.from_pydict(columns)
-
-    schema = T.StructType([*segments.schema.fields, T.StructField("events", T.ArrayType(T.StructType.fromDDL(EVENT)))])
+            texts, events = batch.column(text_col).to_pylist(), []
+            before = [[]] * len(texts) if first else batch.column("events").to_pylist()
+            for i, (text, early) in enumerate(zip(texts, before, strict=True)):
+                finds = [] if text is None else [tuple(e[f] for f in ("start", "n", "k", "to", "category", "id")) for e in early] + list(matcher.finds(text))
+                if last and finds:
+                    texts[i], finds = rewrite_text(text, finds)
+                events.append([dict(zip(names, f, strict=True)) for f in finds])
+            columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(events, arrow)], names=[*kept, "events"])
+
     return segments.mapInArrow(run, schema)
 
 

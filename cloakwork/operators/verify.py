@@ -2,41 +2,98 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import matching, placeholders, text
+from ..functions.literals import Literals, fold, same_in_any_case, whole_word, worker_cache
 from ..rules import CATEGORIES, DEFAULT_RULES, SWEPT_CATEGORIES, Rule
-from . import index, rewrite, submap
+from . import detect, index, rewrite, submap
 
+#: Map values of one pass over the texts.
+PASS_VALUES = 500_000
+#: Rank of the first swept value among the sources of a hit: after all rules.
+FIRST_SWEPT = 1 << 32
 REGRESSION = "regression:from-value"
 
 
-def swept_rules(smap: DataFrame, least: int = 3) -> list[Rule]:
-    """A case-insensitive whole-word rule for each textual map entry, the first of each spelling; at most ``rewrite.MOST_RULES``."""
+def swept_values(smap: DataFrame, least: int = 3) -> DataFrame:
+    """(rank, from, to, name) of textual map entries that are looked for in any case, the first of each spelling, in map order."""
     order = F.array_position(F.array(*map(F.lit, SWEPT_CATEGORIES)), F.col("category"))
     rows = smap.where(F.col("category").isin(*SWEPT_CATEGORIES)).select("category", "entry_ord", "id", F.trim("from").alias("f"), F.trim("to").alias("t"), order.alias("o"))
-    rows = rows.where(F.length("f") >= least).groupBy(F.lower("f")).agg(F.min_by(F.struct("f", "t", "id", "category", "o", "entry_ord"), F.struct("o", "entry_ord")).alias("m")).select("m.*")
-    got = rows.orderBy("o", "entry_ord").limit(rewrite.MOST_RULES + 1).collect()
-    if len(got) > rewrite.MOST_RULES:
-        raise ValueError(f"more than {rewrite.MOST_RULES} swept values")
-    return [Rule(f"map:{r['id'] or r['category']}", r["category"], rf"(?iu)\b{matching.quote(r['f'])}\b", allow=(rf"(?iu)^{matching.quote(r['t'])}$",) if r["t"] else ()) for r in got]
-
-
-def literal_hits(segments: DataFrame, values: list[str]) -> DataFrame:
-    """Case-sensitive finds of each value, values apart from each other and each without overlaps."""
-    if not values:
-        return segments.select("file_rel", F.lit(REGRESSION).alias("pattern"), F.lit("").alias("match"), F.lit(0).alias("off")).limit(0)
-    needles = F.array(*map(F.lit, values))
-    held = segments.select("file_rel", "text", F.explode(F.filter(needles, lambda n: F.instr(F.col("text"), n) > 0)).alias("match"))
-
-    def starts(body, needle):
-        gaps = F.transform(F.split(body, F.concat(F.lit("\\Q"), F.replace(needle, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")), -1), F.length)
-        return F.transform(F.sequence(F.lit(1), F.size(gaps) - 1), lambda i: (F.aggregate(F.slice(gaps, 1, i), F.lit(0), lambda a, g: a + g) + (i - 1) * F.length(needle)).cast("int"))
-
-    return held.select("file_rel", F.lit(REGRESSION).alias("pattern"), "match", F.explode(starts(F.col("text"), F.col("match"))).alias("off"))
+    first = rows.where(F.length("f") >= least).groupBy(F.lower("f")).agg(F.min_by(F.struct("f", "t", "id", "category", "o", "entry_ord"), F.struct("o", "entry_ord")).alias("m")).select("m.*")
+    named = F.concat(F.lit("map:"), F.coalesce(F.when(F.col("id") != "", F.col("id")), F.col("category")))
+    return index.running(first.select("o", "entry_ord", F.col("f").alias("from"), F.col("t").alias("to"), named.alias("name")), ["o", "entry_ord"]).select("rank", "from", "to", "name")
+
+
+def guarded_values(smap: DataFrame) -> DataFrame:
+    """(from) of all map values, as they are, less those that their own placeholder holds."""
+    return smap.where("`from` <> ''").select("from").distinct().join(submap.supersets(smap).select("from").distinct(), "from", "left_anti")
+
+
+_HIT = "file_rel string, pattern string, match string, off int, src long, snippet string"
+
+
+def _literal_pass(segments: DataFrame, values: list[str], swept: list[tuple], normalise: bool) -> DataFrame:
+    """Hits of map values in one pass: each value's finds are apart from each other; swept values stand between word borders."""
+    shared, token = segments.sparkSession.sparkContext.broadcast((values, swept)), uuid.uuid4().hex
+
+    def make():
+        values, swept = shared.value
+        clean = (lambda v: text.normalize_text(v)) if normalise else (lambda v: v)
+        return Literals((clean(v), v) for v in values), Literals((fold(f), (rank, f, to, name)) for rank, f, to, name in swept)
+
+    def hits(body: str, exact: Literals, loose: Literals) -> Iterator[tuple]:
+        ends: dict = {}
+        for start, n, items in sorted(exact.finds(body), key=lambda x: x[:2]):
+            for value in items:
+                if start >= ends.get(value, 0):
+                    ends[value] = start + n
+                    yield REGRESSION, value, start, 0, n
+        if loose.any:
+            for start, n, items in sorted(loose.finds(fold(body)), key=lambda x: x[:2]):
+                for rank, value, to, name in items:
+                    if start >= ends.get(rank, 0) and (m := whole_word(value).match(body, start)):
+                        ends[rank] = m.end()
+                        if not to or not same_in_any_case(to).search(m[0]):
+                            yield name, m[0], start, FIRST_SWEPT + rank, len(m[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        exact, loose = worker_cache(make, token)
+        for batch in batches:
+            out = []
+            for file_rel, body in zip(batch.column("file_rel").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for pattern, match, off, src, n in hits(body, exact, loose):
+                    out.append((file_rel, pattern, match, off, src, body[max(0, off - matching.AROUND) : off + n + matching.AROUND].replace("\n", " ").strip(" ")))
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.string()), strict=True)], names=["file_rel", "pattern", "match", "off", "src", "snippet"])
+
+    return segments.select("file_rel", "text").mapInArrow(run, _HIT)
+
+
+def literal_hits(segments: DataFrame, values: DataFrame | None = None, swept: DataFrame | None = None, normalise: bool = False) -> DataFrame:
+    """Hits (file_rel, pattern, match, off, src, snippet) of ``values`` (from), case-sensitive, and of ``swept`` values.
+
+    Map values go to tasks ``PASS_VALUES`` at a time, each part in a pass of
+    its own; finds of one value are apart from each other, those of different
+    values are independent, so that passes need not know of each other.
+    """
+    made = None
+    for k, part in enumerate((values, swept)):
+        if part is None:
+            continue
+        ranked = index.running(part, ["from"] if k == 0 else ["rank"]).withColumnRenamed("rank", "place") if k == 0 else part.withColumn("place", F.col("rank"))
+        total = ranked.count()
+        for p in range(-(-total // PASS_VALUES)):
+            rows = ranked.where((F.col("place") >= p * PASS_VALUES) & (F.col("place") < (p + 1) * PASS_VALUES)).collect()  # PASS_VALUES at most
+            exact, loose = ([r["from"] for r in rows], []) if k == 0 else ([], [(r["rank"], r["from"], r["to"], r["name"]) for r in rows])
+            one = _literal_pass(segments, exact, loose, normalise)
+            made = one if made is None else made.unionByName(one)
+    return segments.sparkSession.createDataFrame([], _HIT) if made is None else made
 
 
 def verify(segments: DataFrame, smap: DataFrame | None = None, rules: Sequence[Rule] = DEFAULT_RULES, normalise: bool = True) -> DataFrame:
@@ -48,20 +105,17 @@ def verify(segments: DataFrame, smap: DataFrame | None = None, rules: Sequence[R
     """
     body = segments.select("file_rel", F.col("text").alias("raw")).withColumn("text", text.normalize(F.col("raw")) if normalise else F.col("raw")).drop("raw")
     body = body.where(F.coalesce("text", F.lit("")) != "")
-    swept = swept_rules(smap) if smap is not None else []
-    every = [*rules, *swept]
-    seg = body.select("file_rel", F.lit(0).alias("seg_ord"), F.col("file_rel").alias("seg_id"), "text")
-    from .detect import occurrences
-
-    hits = occurrences(seg, every).select("file_rel", F.col("rule").alias("pattern"), F.col("value").alias("match"), "off", (F.col("rule_ord") + 1).alias("src"))
+    found = []
+    if rules:
+        seg = body.select("file_rel", F.lit(0).alias("seg_ord"), F.col("file_rel").alias("seg_id"), "text")
+        found.append(detect.occurrences(seg, rules, snippets=True).select("file_rel", F.col("rule").alias("pattern"), F.col("value").alias("match"), "off", (F.col("rule_ord") + 1).cast("long").alias("src"), "snippet"))
     if smap is not None:
-        own = submap.supersets(smap).select("from").distinct()
-        keys = smap.where("`from` <> ''").select("from").distinct().join(own, "from", "left_anti").limit(rewrite.MOST_RULES + 1).collect()
-        if len(keys) > rewrite.MOST_RULES:
-            raise ValueError(f"more than {rewrite.MOST_RULES} map values")
-        hits = literal_hits(body, [r["from"] for r in keys]).select("file_rel", "pattern", "match", "off", F.lit(0).alias("src")).unionByName(hits)
-    first = hits.groupBy("file_rel", "off", F.length("match").alias("n")).agg(F.min_by(F.struct("pattern", "match"), F.struct("src", "match")).alias("m"))
-    return first.join(body, "file_rel").select("file_rel", "m.pattern", "m.match", "off", matching.snippet(F.col("text"), F.col("off"), F.col("n")).alias("snippet"))
+        found.append(literal_hits(body, guarded_values(smap), swept_values(smap), normalise))
+    if not found:
+        return segments.sparkSession.createDataFrame([], _HIT).drop("src")
+    hits = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    first = hits.groupBy("file_rel", "off", F.length("match").alias("n")).agg(F.min_by(F.struct("pattern", "match", "snippet"), F.struct("src", "match")).alias("m"))
+    return first.select("file_rel", "m.pattern", "m.match", "off", "m.snippet")
 
 
 def derive(hits: DataFrame, smap: DataFrame) -> DataFrame:

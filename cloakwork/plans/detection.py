@@ -10,7 +10,7 @@ from ..operators import chunk, detect, index
 from ..rules import DEFAULT_RULES
 from . import sql
 from .catalogue import query
-from .tables import PHONES_AND_IPV4, doc_segments, page_segments, table, turn_segments
+from .tables import PHONES_AND_IPV4, doc_segments, page_segments, secret_segments, table, turn_segments
 
 _DOCS = sql.occurrences(sql.DOC_SEGMENTS, DEFAULT_RULES)
 _RAW = sql.occurrences(sql.DOC_SEGMENTS, DEFAULT_RULES, allow=False)
@@ -43,6 +43,12 @@ def t0_scan_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _count(detect.occurrences(turn_segments(spark, sf_dir)))
 
 
+@query(sql.first_wins(sql.occurrences(sql.SECRET_SEGMENTS, DEFAULT_RULES)))
+def t0_scan_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys, ARNs, instances, UUIDs and SIDs, and values that allow lists leave alone."""
+    return detect.detect(secret_segments(spark, sf_dir)).select(*_COLUMNS)
+
+
 @query(_KEPT)
 def t0_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.detect(doc_segments(spark, sf_dir)).select(*_COLUMNS)
@@ -50,22 +56,20 @@ def t0_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select rule, count(*) as n_raw, sum(allowed) as n_allowed from (select r.rule, case when d.off is null then 1 else 0 end as allowed from ({_RAW}) r left join ({_DOCS}) d using (file_rel, seg_id, rule_ord, off)) group by rule")
 def t0_allow_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seg = doc_segments(spark, sf_dir)
-    raw = detect.occurrences(seg, allow=False)
-    kept = detect.occurrences(seg).select("file_rel", "seg_id", "rule_ord", "off", F.lit(0).alias("kept"))
-    return raw.join(kept, ["file_rel", "seg_id", "rule_ord", "off"], "left").groupBy("rule").agg(F.count("*").alias("n_raw"), F.sum(F.coalesce("kept", F.lit(1))).alias("n_allowed"))
+    raw = detect.occurrences(doc_segments(spark, sf_dir), allow=False)
+    return raw.groupBy("rule").agg(F.count("*").alias("n_raw"), F.sum(F.col("allowed").cast("int")).alias("n_allowed"))
 
 
 @query(f"with occ as ({_DOCS}) select {', '.join(_COLUMNS)} from occ where value not in ({_SAFE.format(occ='select * from occ')})")
 def t0_safe_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    occ = detect.occurrences(doc_segments(spark, sf_dir))
+    occ = index.materialised(detect.occurrences(doc_segments(spark, sf_dir)))
     safe = occ.where(F.col("file_rel").endswith("0")).select(F.col("value").alias("term")).distinct()
     return detect.without(occ, safe, "term").select(*_COLUMNS)
 
 
 @query(f"with occ as ({_DOCS}) select {', '.join(_COLUMNS)} from occ where value not in ({_MAPPED.format(occ='select * from occ')})")
 def t0_map_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    occ = detect.occurrences(doc_segments(spark, sf_dir))
+    occ = index.materialised(detect.occurrences(doc_segments(spark, sf_dir)))
     mapped = occ.where(F.col("file_rel").endswith("5")).select(F.col("value").alias("from")).distinct()
     return detect.without(occ, mapped, "from").select(*_COLUMNS)
 

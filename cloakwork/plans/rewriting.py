@@ -9,7 +9,7 @@ from ..operators import index, rewrite, submap, verify
 from ..rules import DEFAULT_RULES
 from . import sql
 from .catalogue import query
-from .tables import IPV4, doc_segments, ipv4_map, page_segments, table, turn_segments
+from .tables import IPV4, doc_segments, ipv4_map, page_segments, table, turn_segments, word_map
 
 _IP_OCC = sql.first_wins(sql.occurrences(sql.DOC_SEGMENTS, IPV4))
 _MAP = f"select value as \"from\", placeholder as \"to\", n, 'network:' || lpad(n::varchar, 4, '0') as id from ({sql.with_placeholders(sql.candidates(_IP_OCC))})"
@@ -67,6 +67,34 @@ def apply_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _apply(spark, sf_dir, turn_segments(spark, sf_dir)).select("file_rel", "seg_id", "text")
 
 
+@query(f"""with map as (select w, ' ' || reverse(w) as t, length(w) % 2 = 0 as ci from {sql.WORDS} union all select distinct w[1:4], ' #', false from {sql.WORDS}),
+  said as (select file_rel, string_split(text, ' ') as g from ({sql.DOC_SEGMENTS}) where text is not null),
+  each as (select file_rel, i, g[i] as p from (select file_rel, g, unnest(range(1, len(g) + 1)) as i from said)),
+  known as (select p, max(n) as n from (select p, n, p[1:n] as s from (select distinct p from each), (select distinct length(w) as n from map) where length(p) >= n) join map
+    on length(w) = n and w = case when ci then lower(s) else s end group by p),
+  made as (select each.file_rel, each.i, case when i = 1 then each.p when known.n is null then ' ' || each.p
+      else (select t from map where length(w) = known.n and w = case when ci then lower(each.p[1:known.n]) else each.p[1:known.n] end) || each.p[known.n + 1:] end as s from each left join known using (p))
+  select s.file_rel, s.seg_id, m.text from ({sql.DOC_SEGMENTS}) s left join (select file_rel, string_agg(s, '' order by i) as text from made group by file_rel) m using (file_rel)""")
+def apply_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words behind a blank, in any case or as they are, and their beginnings: the longest entry wins."""
+    return rewrite.apply_rules(doc_segments(spark, sf_dir), rewrite.compile_rules(word_map(spark, sf_dir))).select("file_rel", "seg_id", "text")
+
+
+@query(f"""with map as materialized (select w as v from {sql.WORDS} union all select distinct w[1:4] from {sql.WORDS} union all select c_name from customer),
+  doc as materialized (select file_rel, text from ({sql.DOC_SEGMENTS}) where text <> ''),
+  exact as (select file_rel, 'regression:from-value' as source, sum((length(text) - length(replace(text, v, ''))) // length(v))::bigint as n_hits from doc, map where contains(text, v) group by file_rel),
+  words as (select file_rel, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) as x from doc),
+  swept as (select file_rel, 'map' as source, count(*) as n_hits from words where lower(x) in (select lower(v) from map where length(v) >= 3) and x not in (select v from map) group by file_rel)
+  select * from exact union all select * from swept""")
+def verify_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thousands of textual map entries: values where they stand, and between word borders in any case."""
+    names = table(spark, sf_dir, "customer").select(F.lit("network").alias("category"), F.col("c_custkey").cast("int").alias("entry_ord"), F.col("c_name").alias("from"), F.lit("x").alias("to"), F.lit("").alias("id"))
+    smap = index.materialised(word_map(spark, sf_dir, "").unionByName(names))
+    hits = verify.verify(doc_segments(spark, sf_dir), smap, (), normalise=False)
+    source = F.when(F.col("pattern") == verify.REGRESSION, F.col("pattern")).otherwise("map")
+    return hits.groupBy("file_rel", source.alias("source")).agg(F.count("*").alias("n_hits"))
+
+
 @query(f"select file_rel, seg_id, text from ({sql.DOC_SEGMENTS})")
 def apply_noop_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An empty map changes nothing."""
@@ -122,8 +150,7 @@ def _words(spark: SparkSession) -> DataFrame:
 def regression_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Map values that stand in a text as they are, without those that their own placeholder holds."""
     smap = _words(spark)
-    keys = [r["from"] for r in smap.join(submap.supersets(smap).select("from"), "from", "left_anti").select("from").collect()]
-    return verify.literal_hits(doc_segments(spark, sf_dir), keys).groupBy("file_rel", "match").agg(F.count("*").alias("n_hits"))
+    return verify.literal_hits(doc_segments(spark, sf_dir).where("text is not null"), verify.guarded_values(smap)).groupBy("file_rel", "match").agg(F.count("*").alias("n_hits"))
 
 
 @query('select p_partkey, p_name as "from", p_name || \'-\' || p_brand as "to" from part where p_partkey % 3 = 0')

@@ -12,6 +12,14 @@ PAGE_SEGMENTS = "select lpad(page_id::varchar, 12, '0') as file_rel, 0 as seg_or
 TURN_SEGMENTS = "select lpad(conv_id::varchar, 12, '0') as file_rel, turn::int as seg_ord, turn::varchar as seg_id, text from conversations"
 
 
+SECRET_SEGMENTS = """select lpad(c_custkey::varchar, 12, '0') as file_rel, 0 as seg_ord, '0' as seg_id, case when c_custkey % 7 = 0
+    then 'key ' || repeat('0', 32) || ' on i-12345678000a, S-1-5-21-0 ' || c_custkey
+    else 'key ' || h || ', long ' || h || reverse(h) || ' arn:aws:iam::' || lpad(c_custkey::varchar, 12, '7') || ':user/' || c_custkey || ' on i-' || h[1:12] || '; id '
+      || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] || ' sid S-1-5-21-' || c_custkey || '-500 +39 333 ' || lpad(c_custkey::varchar, 7, '1') end as text
+  from (select *, md5(c_name) as h from customer)"""
+WORDS = "(select distinct unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) as w from benchmark)"
+
+
 def quote(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 

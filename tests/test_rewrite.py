@@ -1,7 +1,9 @@
 import random
+import re
 
 import pytest
 
+from cloakwork import rules as rules_table
 from cloakwork.operators import rewrite, submap, verify
 
 MAP = "category string, entry_ord int, from string, to string, id string"
@@ -23,10 +25,9 @@ def greedy(text, rules):
     return "".join(out)
 
 
-@pytest.mark.parametrize("by_trie", [False, True])
-def test_rewriting_equals_greedy(spark, monkeypatch, by_trie):
-    if by_trie:
-        monkeypatch.setattr(rewrite, "ALTERNATION_RULES", 0)
+@pytest.mark.parametrize("pass_rules", [3, 1000])
+def test_rewriting_equals_greedy(spark, monkeypatch, pass_rules):
+    monkeypatch.setattr(rewrite, "PASS_RULES", pass_rules)
     rng = random.Random(3)
     words = list({"".join(rng.choice("abAB.\\E|é") for _ in range(rng.randint(1, 4))) for _ in range(14)})
     entries = [("brand" if k % 3 == 0 else "ids", k, w, f"<{k}>", f"m:{k}") for k, w in enumerate(words)]
@@ -42,6 +43,66 @@ def test_rewriting_equals_greedy(spark, monkeypatch, by_trie):
             assert r.text[e.anon_off : e.anon_off + e.anon_len] == e["to"]
 
 
+ODD_CASES = "aAsS\u017fkK\u212ai\u0130\u0131\u03c3\u03c2\u03a3\u00df\u1e9e -"
+
+
+@pytest.mark.parametrize("pass_rules", [5, 1000])
+def test_odd_case_folds_lose_no_text(spark, monkeypatch, pass_rules):
+    monkeypatch.setattr(rewrite, "PASS_RULES", pass_rules)
+    rng = random.Random(9)
+    words = ["acmes", "Kelvin", "\u0130stanbul", "\u039f\u0394\u039f\u03a3", *{"".join(rng.choice(ODD_CASES) for _ in range(rng.randint(1, 3))) for _ in range(25)}]
+    entries = [("brand" if k % 2 == 0 else "ids", k, w, f"<{k}>", f"m:{k}") for k, w in enumerate(words)]
+    texts = ["at acme\u017f now, ACMES too", "\u212aelvin kelvin", "\u0130STANBUL i\u0307stanbul", "\u03bf\u03b4\u03bf\u03c2 \u03bf\u03b4\u03bf\u03c3"]
+    texts += ["".join(rng.choice(ODD_CASES) for _ in range(rng.randint(0, 30))) for _ in range(200)]
+    rules = [(f, t, c == "brand") for c, _, f, t, _ in sorted(entries, key=lambda e: (-len(e[2]), e[0] != "brand", e[1]))]
+    seg = spark.createDataFrame([(f"{i:04d}", 0, "0", t) for i, t in enumerate(texts)], SEG)
+    for r in rewrite.apply_rules(seg, rewrite.compile_rules(spark.createDataFrame(entries, MAP))).collect():
+        assert r.text == greedy(texts[int(r.file_rel)], rules)
+
+
+def brute_hits(text, entries):
+    """(pattern, match, off) of one text: values where they stand, then swept values between word borders, one of each start and length."""
+    out, seen = [], set()
+    values = {f for _, _, f, _, _ in entries if f}
+    for v in sorted(values - {f for _, _, f, t, _ in entries if f != t and f in t}):
+        at = text.find(v)
+        while at >= 0:
+            if (at, len(v)) not in seen:
+                seen.add((at, len(v)))
+                out.append((verify.REGRESSION, v, at))
+            at = text.find(v, at + len(v))
+    spelt = set()
+    for c in rules_table.SWEPT_CATEGORIES:
+        for _, _, f, t, i in sorted((e for e in entries if e[0] == c), key=lambda e: e[1]):
+            f, t = f.strip(" "), t.strip(" ")
+            if len(f) < 3 or f.lower() in spelt:
+                continue
+            spelt.add(f.lower())
+            for m in re.finditer(rf"(?i)\b{re.escape(f)}\b", text):
+                if (m.start(), len(m[0])) not in seen and not re.search(rf"(?i)^{re.escape(t)}$", m[0]):
+                    seen.add((m.start(), len(m[0])))
+                    out.append((f"map:{i or c}", m[0], m.start()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("pass_values", [2, 1000])
+def test_map_values_are_found_as_by_brute_force(spark, monkeypatch, pass_values):
+    monkeypatch.setattr(verify, "PASS_VALUES", pass_values)
+    rng = random.Random(5)
+    words = ["acmes", "Acmes", "Acme Bank", "bank", "*.acme", "Kel vin", "a a", "a a a", "id-7", "ID-77"]
+    cats = ["brand", "ids", "phones", "headers"]
+    entries = [(cats[k % 4], k, w, rng.choice(["Vendor1", "ACMES", f"x{w}", ""]), f"m:{k}" if k % 3 else "") for k, w in enumerate(words)]
+    parts = ["acmes", "ACMES", "acme\u017f", "Acme Bank", "acme bank", "*.acme", "x*.acme", "a a a a", "\u212ael vin", "id-7", "ID-77", ",", "_", "Bank"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(120)]
+    seg = spark.createDataFrame([(f"{i:04d}", 0, "0", t) for i, t in enumerate(texts)], SEG)
+    got = {}
+    for h in verify.verify(seg, spark.createDataFrame(entries, MAP), (), normalise=False).collect():
+        got.setdefault(int(h.file_rel), []).append((h.pattern, h.match, h.off))
+        assert h.match in h.snippet
+    for i, t in enumerate(texts):
+        assert sorted(got.get(i, [])) == brute_hits(t, entries), t
+
+
 def test_no_rules_changes_nothing(spark):
     seg = spark.createDataFrame([("a", 0, "0", "text"), ("b", 0, "0", None)], SEG)
     done = rewrite.apply_rules(seg, rewrite.compile_rules(spark.createDataFrame([], MAP))).collect()
