@@ -27,12 +27,18 @@ def first_sightings(rows: DataFrame, bucket: str, key: str, order: list[str]) ->
 
 def running(rows: DataFrame, order: list) -> DataFrame:
     """``rows`` with ``rank``, from 0 in ``order``: a range sort, numbered in place; only a count for each partition is gathered."""
-    place = materialised(rows.orderBy(*order).withColumn("at", F.monotonically_increasing_id()))
-    part = F.shiftright("at", 33)
-    before = F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = place.groupBy(part.alias("part")).count().select("part", before.alias("before"))  # one row for each partition
-    numbered = place.withColumn("part", part).join(F.broadcast(starts), "part")
-    return numbered.select(*rows.columns, (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias("rank"))
+    at, part, before = (_fresh(rows, c) for c in ("at", "part", "before"))
+    place = materialised(rows.orderBy(*order).withColumn(at, F.monotonically_increasing_id()))
+    sizes = place.groupBy(F.shiftright(at, 33).alias(part)).agg(F.count("*").alias("n"))  # one row for each partition
+    starts = sizes.select(part, F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    numbered = place.withColumn(part, F.shiftright(at, 33)).join(F.broadcast(starts), part)
+    return numbered.select(*rows.columns, (F.col(before) + F.col(at).bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias("rank"))
+
+
+def _fresh(rows: DataFrame, stem: str) -> str:
+    """A column name that ``rows`` does not have."""
+    have = {c.lower() for c in rows.columns}
+    return next(name for n in range(len(have) + 1) if (name := f"{stem}_{n}") not in have)
 
 
 def number_keys(keys: DataFrame, known: DataFrame | None = None) -> DataFrame:

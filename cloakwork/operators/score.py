@@ -20,6 +20,13 @@ def per_file(expected: DataFrame, caught: DataFrame) -> DataFrame:
     return with_rates(counts)
 
 
+def differences(expected: DataFrame, caught: DataFrame) -> DataFrame:
+    """(file, kind, value): lower-cased values that were ``missed``, and ``extra`` ones."""
+    low = lambda d: d.select("file", F.lower("value").alias("value")).distinct()
+    kind = lambda a, b, k: low(a).join(low(b), ["file", "value"], "left_anti").select("file", F.lit(k).alias("kind"), "value")
+    return kind(expected, caught, "missed").unionByName(kind(caught, expected, "extra"))
+
+
 def with_rates(counts: DataFrame, rounded_f1: bool = False) -> DataFrame:
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     p, r = _share(tp, tp + fp), _share(tp, tp + fn)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import placeholders
+from . import index, submap
 
 
 def promotable(low: float = 0.75, high: float = 0.92) -> Column:
@@ -68,6 +69,29 @@ def prune_promoted(cands: DataFrame, mapped: DataFrame) -> DataFrame:
     return cands.join(known, "value", "left").where(F.col("known").isNull() | (F.col("decision") == "skip")).drop("known")
 
 
+def promote(smap: DataFrame, lists: list[DataFrame]) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """One step from candidates to the map: (map, lists, log).
+
+    ``lists`` (ord, category, value, suggested_placeholder, decision, tier) are
+    merged in their order; skipped rows stay out of the map and in their list,
+    and rows that the map holds now leave it.  Blank or unchanged placeholders
+    are filled first.  ``log`` (action, value, placeholder, category, tier) has
+    a row for each candidate that was not skipped.
+    """
+    some = ("ord", "category", "value", "suggested_placeholder", "decision", "tier")
+    every = None
+    for k, one in enumerate(lists):
+        part = one.select(*some).withColumn("list", F.lit(k))
+        every = part if every is None else every.unionByName(part)
+    every = index.running(every.where(F.coalesce("decision", F.lit("pending")) != "skip"), ["list", "ord", "value"])
+    keys = every.groupBy(F.col("category").alias("bucket"), F.col("value").alias("key")).agg(F.min("rank").alias("first"))
+    numbered = every.join(index.number_keys(keys).select(F.col("bucket").alias("category"), F.col("key").alias("value"), "n"), ["category", "value"])
+    filled = index.materialised(fill_placeholders(numbered).select("list", F.col("rank").alias("ord"), "category", "value", F.col("suggested_placeholder").alias("placeholder"), "tier"))
+    grown = index.materialised(submap.merge(smap, filled.select("ord", "category", "value", "placeholder")))
+    log = filled.select(F.lit("promote").alias("action"), "value", "placeholder", "category", "tier")
+    return grown, [prune_promoted(one, grown) for one in lists], log
+
+
 def unhandled(pending: DataFrame, mapped: DataFrame, auto: DataFrame) -> DataFrame:
     """Pending values that neither the map, nor promotion, nor approval takes care of."""
     covered = mapped.select(F.col("from").alias("value")).unionByName(auto.select("value"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -129,16 +129,33 @@ def derive(hits: DataFrame, smap: DataFrame) -> DataFrame:
     return cut.where((F.col("placeholder") != "") & (F.col("placeholder") != v)).select("value", "category", "placeholder")
 
 
-def auto_resolve(source: DataFrame, smap: DataFrame, rounds: int = 2, rules: Sequence[Rule] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+def review_queue(hits: DataFrame) -> DataFrame:
+    """What is left for people to decide: (value, category, pattern, count, snippet) of each value, the category guessed from its first pattern."""
+    rows = hits.where("match <> ''").groupBy(F.col("match").alias("value")).agg(F.min("pattern").alias("pattern"), F.count("*").alias("count"), F.min("snippet").alias("snippet"))
+    return rows.select("value", text.category_of_pattern(F.col("pattern")).alias("category"), "pattern", "count", "snippet")
+
+
+def auto_resolve(
+    source: DataFrame, smap: DataFrame, rounds: int = 2, rules: Sequence[Rule] = DEFAULT_RULES, audit: Callable[[DataFrame], DataFrame] | None = None, sure: float = 0.92
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Verify, derive entries for what is left, rewrite from the source again; (segments, map, hits).
 
-    ``source`` is (file_rel, seg_ord, seg_id, text).  Ends after ``rounds``, or
-    when nothing new is derived.  Each round's map is a checkpoint.
+    ``source`` is (file_rel, seg_ord, seg_id, text).  Values that the map holds
+    in another case take its placeholder; ``audit``, if given, gets the review
+    queue of the others and answers (value, category, placeholder, confidence),
+    of which those of at least ``sure`` are added.  Ends after ``rounds``, or
+    when nothing new comes up; ``review_queue`` of the hits is left to people.
+    Each round's map is a checkpoint.
     """
     done = rewrite.apply_rules(source, rewrite.compile_rules(smap))
     for _ in range(rounds):
-        hits = verify(done, smap, rules)
-        new = derive(hits, smap).withColumn("ord", F.xxhash64("value")).join(smap.select("category", F.col("from").alias("value")), ["category", "value"], "left_anti")
+        hits = index.materialised(verify(done, smap, rules))
+        new = derive(hits, smap)
+        if audit:
+            left = review_queue(hits).join(new.select("value"), "value", "left_anti")
+            answers = audit(left).where(F.col("confidence") >= sure).select("value", submap.known_category().alias("category"), "placeholder")
+            new = new.unionByName(answers.join(left.select("value"), "value", "left_semi"))
+        new = new.withColumn("ord", F.xxhash64("value")).join(smap.select("category", F.col("from").alias("value")), ["category", "value"], "left_anti")
         new = index.materialised(new)
         if not new.limit(1).count():
             break

@@ -4,7 +4,7 @@ import re
 import pytest
 
 from cloakwork import rules as rules_table
-from cloakwork.operators import rewrite, submap, verify
+from cloakwork.operators import rewrite, submap, triage, verify
 
 MAP = "category string, entry_ord int, from string, to string, id string"
 SEG = "file_rel string, seg_ord int, seg_id string, text string"
@@ -134,3 +134,51 @@ def test_merge_bumps_and_numbers(spark):
     new = spark.createDataFrame([(0, "brand", "yyyy", "Vendor01"), (1, "brand", "zzzz", "Vendor01"), (2, "brand", "x", "other"), (3, "nope", "q", "q"), (4, "nope", "abc", "abcdefghij")], "ord long, category string, value string, placeholder string")
     got = {r["from"]: (r.category, r["to"], r.id) for r in submap.merge(smap, new).collect()}
     assert got == {"x": ("brand", "Vendor01", "brand:0001"), "yyyy": ("brand", "Vendor02", "brand:0002"), "zzzz": ("brand", "Vendor03", "brand:0003"), "abc": ("other", "a00", "other:0004")}
+
+
+def test_map_edits(spark):
+    smap = spark.createDataFrame([("brand", 0, "x", "V1", "brand:0001"), ("ids", 0, "x", "I1", "ids:0002"), ("ids", 1, "y", "I2", "ids:0003")], MAP)
+    assert submap.find(smap, "x").head().category == "brand" and submap.find(smap, "none").count() == 0
+    rows = lambda d: sorted((r.category, r.entry_ord, r["from"], r["to"], r.id) for r in d.collect())
+    assert rows(submap.add(smap, "nope", "z", "Z")) == [("brand", 0, "x", "V1", "brand:0001"), ("ids", 0, "x", "I1", "ids:0002"), ("ids", 1, "y", "I2", "ids:0003"), ("other", 0, "z", "Z", "other:0004")]
+    assert rows(submap.add(smap, "ids", "y", "other")) == rows(smap)
+    assert submap.add(smap.limit(0), "ids", "y", "Y", "mine").head().id == "mine"
+    assert [r["to"] for r in submap.update(smap, "ids:0003", "new").where("id = 'ids:0003'").collect()] == ["new"]
+    assert rows(submap.update(smap, "none", "new")) == rows(smap) == rows(submap.remove(smap, "none"))
+    assert len(rows(submap.remove(smap, "ids:0002"))) == 2
+
+
+def test_order_of_rules(spark):
+    rules = spark.createDataFrame([("abc", 0), ("ab", 1), ("abcd", 5), ("a", 9)], "from string, at int")
+    assert [tuple(r) for r in submap.not_longest_first(rules).collect()] == [("abcd", 5)]
+    assert submap.not_longest_first(rules.where("at <> 5")).count() == 0
+
+
+def test_promote_is_one_step(spark):
+    smap = spark.createDataFrame([("brand", 0, "Acme", "Vendor1", "brand:0001")], MAP)
+    row = "ord long, category string, value string, suggested_placeholder string, decision string, tier string"
+    t0 = spark.createDataFrame([(0, "brand", "Acme", "Vendor9", "pending", "T0_rules"), (1, "phones", "+39 333 1234567", "", "pending", "T0_rules")], row)
+    t1 = spark.createDataFrame([(0, "brand", "Bank", "Vendor1", "approve", "T1_llm"), (1, "brand", "Kept", "Vendor2", "skip", "T1_llm")], row)
+    grown, (left0, left1), log = triage.promote(smap, [t0, t1])
+    got = {r["from"]: (r["to"], r.id) for r in grown.collect()}
+    assert set(got) == {"Acme", "+39 333 1234567", "Bank"} and got["Acme"] == ("Vendor1", "brand:0001")
+    assert got["Bank"] == ("Vendor2", "brand:0003") and got["+39 333 1234567"][0] not in ("", "+39 333 1234567") and got["+39 333 1234567"][1] == "phones:0002"
+    assert left0.count() == 0 and [r.value for r in left1.collect()] == ["Kept"]
+    assert {r.value for r in log.collect()} == {"Acme", "+39 333 1234567", "Bank"}
+
+
+def test_audit_answers_and_review_queue(spark):
+    smap = spark.createDataFrame([("brand", 0, "Acme", "Vendor1", "brand:0001")], MAP)
+    seg = spark.createDataFrame([("a", 0, "0", "Acme ACME at 93.184.216.34 or 93.184.216.35")], SEG)
+    answers = [("93.184.216.34", "network", "203.0.113.1", 0.95), ("93.184.216.35", "network", "203.0.113.2", 0.5), ("never found", "brand", "x", 1.0)]
+    asked = []
+
+    def audit(left):
+        asked.extend(r.value for r in left.collect())
+        return spark.createDataFrame(answers, "value string, category string, placeholder string, confidence double")
+
+    done, grown, hits = verify.auto_resolve(seg, smap, audit=audit)
+    assert "93.184.216.34" in asked and done.head().text == "Vendor1 Vendor1 at 203.0.113.1 or 93.184.216.35"
+    assert {r["from"] for r in grown.collect()} == {"Acme", "93.184.216.34"}
+    queue = verify.review_queue(hits).collect()
+    assert [(r.value, r.category, r["count"]) for r in queue] == [("93.184.216.35", "network", 1)]

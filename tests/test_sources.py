@@ -56,3 +56,94 @@ def test_stream_keeps_indices(spark, tmp_path):
         incremental.watch(spark.readStream.schema(schema).json(src), str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "cp")).awaitTermination(120)
     got = {(r.value, r.n) for r in spark.read.parquet(str(tmp_path / "out") + "/batch=1").collect()}
     assert got == {("93.184.216.34", 1), ("93.184.216.35", 2)}
+
+
+S = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+A = "http://schemas.openxmlformats.org/drawingml/2006/main"
+T = "urn:oasis:names:tc:opendocument:xmlns:text:1.0"
+R = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+
+
+def zipped(**parts):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+WORKBOOK = {
+    "xl/workbook.xml": f'<workbook xmlns="{S}" xmlns:r="{R}"><sheets><sheet name="Two" r:id="rId2"/><sheet name="One" r:id="rId1"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="/xl/worksheets/sheet2.xml"/></Relationships>',
+    "xl/sharedStrings.xml": f'<sst xmlns="{S}"><si><t>Acme</t></si><si><r><t>Ac</t></r><r><t>me &amp; co</t></r></si></sst>',
+    "xl/worksheets/sheet1.xml": f'<worksheet xmlns="{S}"><c r="A1" t="s"><v>0</v></c><c r="A2" t="s"><v>1</v></c><c r="A3" t="s"><v>0</v></c></worksheet>',
+    "xl/worksheets/sheet2.xml": f'<worksheet xmlns="{S}"><c r="B1" t="inlineStr"><is><t>Acme here</t></is></c><c r="B2"><v>5</v></c><c r="B3" t="s"><f>x</f><v>0</v></c></worksheet>',
+}
+OFFICE = {
+    "docx": {"word/document.xml": f'<?xml version="1.0" encoding="UTF-8"?><w:document xmlns:w="{W}" xmlns:mc="urn:mc" mc:Ignorable="w14"><w:body><w:p><w:r><w:t>by Ac</w:t></w:r><w:r><w:t>me &lt;é&gt;</w:t></w:r></w:p><w:p/></w:body></w:document>'},
+    "xlsx": WORKBOOK,
+    "pptx": {f"ppt/slides/slide{k}.xml": f'<p xmlns:a="{A}"><a:p><a:r><a:t>slide {k} Acme</a:t></a:r></a:p></p>' for k in (10, 2)},
+    "odt": {"content.xml": f'<d xmlns:text="{T}"><text:p>to <text:span>Ac</text:span>me</text:p><text:h>head</text:h></d>'},
+}
+
+
+def test_office_files_are_read():
+    assert office.read("docx", zipped(**OFFICE["docx"])) == [("body.p0", "by Acme <é>")]
+    assert office.read("xlsx", zipped(**OFFICE["xlsx"])) == [("Two!B1", "Acme here"), ("One!A1", "Acme"), ("One!A2", "Acme & co"), ("One!A3", "Acme")]
+    assert office.read("pptx", zipped(**OFFICE["pptx"])) == [("slide2.p0", "slide 2 Acme"), ("slide10.p0", "slide 10 Acme")]
+    assert office.read("odt", zipped(**OFFICE["odt"])) == [("body#0", "to Acme"), ("body#1", "head")]
+
+
+def test_office_files_are_written_back():
+    for adapter, parts in OFFICE.items():
+        content = zipped(**parts)
+        texts = dict(office.read(adapter, content))
+        new = {s: t.replace("Acme", "Vendor & 1 ") for s, t in texts.items()}
+        made = office.write(adapter, content, new)
+        assert dict(office.read(adapter, made)) == new
+        assert office.write(adapter, made, texts) != made and dict(office.read(adapter, office.write(adapter, content, texts))) == texts
+        with zipfile.ZipFile(io.BytesIO(made)) as z:
+            assert z.namelist() == list(parts) and not any(b"Acme" in z.read(n) for n in z.namelist())
+            if adapter == "docx":
+                assert b'mc:Ignorable="w14"' in z.read("word/document.xml")
+
+
+def test_mirror_of_rewritten_files(spark, tmp_path):
+    from cloakwork.operators import rewrite
+
+    source, target = tmp_path / "in", tmp_path / "out"
+    (source / "sub").mkdir(parents=True)
+    for adapter, parts in OFFICE.items():
+        (source / "sub" / f"f.{adapter}").write_bytes(zipped(**parts))
+    (source / "t.txt").write_text("Acme and acme")
+    (source / "p.png").write_bytes(b"Acme")
+    (source / "bad.docx").write_bytes(b"Acme")
+    found = files.scan(spark, str(source))
+    smap = spark.createDataFrame([("brand", 0, "Acme", "Vendor", "brand:0001")], "category string, entry_ord int, from string, to string, id string")
+    segments = files.text_segments(found).unionByName(office.segments(found).where("error is null").drop("error"))
+    done = rewrite.apply_rules(segments, rewrite.compile_rules(smap))
+    made = office.rewritten(found, done)
+    assert {r.file_rel for r in made.where("changed").collect()} == {"t.txt", *(f"sub/f.{a}" for a in OFFICE)}
+    assert files.write_files(made, str(target)).count() == 7
+    assert (target / "t.txt").read_text() == "Vendor and Vendor" and (target / "p.png").read_bytes() == b"Acme"
+    assert office.read("odt", (target / "sub" / "f.odt").read_bytes())[0] == ("body#0", "to Vendor")
+    with __import__("pytest").raises(Exception, match="leads out"):
+        files.write_files(made.selectExpr("'../x' as file_rel", "content"), str(target)).count()
+
+
+def test_ignore_files_and_levels(spark, tmp_path):
+    for rel in ("top.log", "a/top.log", "a/keep.txt", "b/x.txt", "a/b/x.txt", "docs/y.md", "a/docs/y.md", "target/z.txt"):
+        (tmp_path / rel).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / rel).write_text("x")
+    (tmp_path / ".gitignore").write_text("/top.log\n# note\nb/\n")
+    (tmp_path / ".anonignore").write_text("/docs\n")
+    got = {r.file_rel for r in files.scan(spark, str(tmp_path)).collect()}
+    assert got == {"a/top.log", "a/keep.txt", "a/docs/y.md", "target/z.txt"}
+    listed = files.scan_files(spark, [str(tmp_path / "a/keep.txt"), str(tmp_path / "docs/y.md")])
+    assert sorted(r.file_rel for r in listed.collect()) == ["keep.txt", "y.md"]
+
+
+def test_files_to_verify(spark):
+    names = ["a.txt", "x/b.pdf", "c.png", "d.zip", "x/e.tar", "needs_review.yml", ".anon/log.txt", "f.jar"]
+    rows = files.to_verify(spark.createDataFrame([(n,) for n in names], "file_rel string")).collect()
+    assert {(r.file_rel, r.inspected) for r in rows} == {("a.txt", True), ("x/b.pdf", True), ("d.zip", False), ("x/e.tar", False)}
