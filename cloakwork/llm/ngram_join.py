@@ -38,7 +38,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Recent
 from .common import arrow_map, cut, fresh, sub_batches
 
 #: Chance, in the cost model, that a set holds an n-gram of another one by accident.
@@ -81,19 +80,83 @@ def shingle_tuples(words: list[bytes], n: int) -> set[tuple[bytes, ...]]:
     return set(zip(*(words[k:] for k in range(n)), strict=False))
 
 
+#: Longer words are hashed one by one; bytes whose prefix sums are held at a time; bytes of texts that are hashed together.
+LONG_WORD = 64
+SUM_BLOCK = 1 << 16
+TEXT_BLOCK = 1 << 19
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, 9, 10, 11, 12, 13]] = True
+_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _K1)
+
+
+def _powers(base: int) -> np.ndarray:
+    out = np.full(SUM_BLOCK + LONG_WORD + 1, np.uint64(base))
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+_UP, _DOWN = _powers(int(_K1)), _powers(pow(int(_K1), -1, 1 << 64))
+
+
+def _hash_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and 64-bit hashes of the words of lower-case bytes that end with a blank.
+
+    A word's hash is a polynomial in its bytes' codes, read off prefix sums and
+    mixed with its length; polynomials of up to 64 bytes don't collide by form.
+    """
+    codes = np.frombuffer(raw, np.uint8)
+    blank = _BLANK[codes]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts = edges[~blank[edges]]
+    if not blank[0]:
+        starts = np.concatenate([[0], starts])
+    ends = edges[blank[edges]]
+    sizes = ends - starts
+    out = np.empty(len(starts), np.uint64)
+    cuts = np.searchsorted(starts, np.arange(0, len(raw) + SUM_BLOCK, SUM_BLOCK))
+    for k, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        if j > i:
+            base = k * SUM_BLOCK
+            part = _BYTE[codes[base : base + SUM_BLOCK + LONG_WORD]]
+            part *= _UP[: len(part)]
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part, dtype=np.uint64)])
+            s = starts[i:j] - base
+            e = np.minimum(ends[i:j] - base, len(part))
+            out[i:j] = (sums[e] - sums[s]) * _DOWN[s]
+    out = _mix(out + sizes.astype(np.uint64) * _K2)
+    for i in np.flatnonzero(sizes > LONG_WORD).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(raw[starts[i] : ends[i]])
+    return starts, out
+
+
 class Hasher:
-    """64-bit hashes of n-gram sets; words' hashes are kept in a bounded table."""
+    """64-bit hashes of words, and of n-gram sets."""
 
     def __init__(self, n: int):
-        self.n, self.recent = n, Recent()
-
-    def word_hashes(self, lists: list[list[bytes]]) -> list[np.ndarray]:
-        known, new = self.recent.part(set().union(*lists))
-        made = {w: xxhash.xxh3_64_intdigest(w) for w in new}
-        self.recent.add(made)
-        known.update(made)
-        get = known.__getitem__
-        return [np.fromiter(map(get, words), np.uint64, len(words)) for words in lists]
+        self.n = n
+
+    def word_hashes(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Hashes of the words of each text, in order; texts are hashed some at a time."""
+        out: list[np.ndarray] = []
+        raws: list[bytes] = []
+        held = 0
+
+        def close() -> None:
+            starts, hashes = _hash_words(b" ".join(raws) + b" ")
+            ends = np.cumsum([len(r) + 1 for r in raws])
+            out.extend(np.split(hashes, np.searchsorted(starts, ends[:-1])))
+            raws.clear()
+
+        for text in texts:
+            raw = (text or "").encode().translate(_LOWER)
+            if raws and held + len(raw) > TEXT_BLOCK:
+                close()
+                held = 0
+            raws.append(raw)
+            held += len(raw) + 1
+        if raws:
+            close()
+        return out
 
     def shingles(self, hashes: np.ndarray) -> np.ndarray:
         """Sorted distinct n-gram hashes of a sequence of word hashes."""
@@ -243,7 +306,7 @@ def _describe(rows: DataFrame, n: int, seed: int) -> DataFrame:
         hasher = Hasher(n)
         for whole in batches:
             for batch in sub_batches(whole):
-                sets = [hasher.shingles(h) for h in hasher.word_hashes([split_words(t) for t in batch.column("text").to_pylist()])]
+                sets = [hasher.shingles(h) for h in hasher.word_hashes(batch.column("text").to_pylist())]
                 names = [set_names(s, seed) for s in sets]
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -276,7 +339,7 @@ def _shared_signatures(rows: DataFrame, n: int, bands: Bands, owners: int, seed:
         for whole in batches:
             for batch in sub_batches(whole):
                 sets = {}
-                for h in hasher.word_hashes([split_words(t) for t in batch.column("text").to_pylist()]):
+                for h in hasher.word_hashes(batch.column("text").to_pylist()):
                     if len(s := hasher.shingles(h)):
                         sets[set_names(s, seed)[0]] = s
                 if not sets:
@@ -458,24 +521,24 @@ def _verify(pairs: DataFrame, names: DataFrame, rows: DataFrame, n: int, t: Frac
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(n)
-        key, head, head_words, head_set = None, None, None, None
+        key, head, head_text, head_set = None, None, None, None
         links = lambda x, y, both: den * both >= num * (x + y - both)
         for whole in batches:
             for batch in sub_batches(whole, most=2 << 20):
                 found: list[tuple[int, int]] = []
-                words = [split_words(x) for x in batch.column("text").to_pylist()]
-                hashed = [hasher.shingles(h) for h in hasher.word_hashes(words)]
-                for a, salt, role, node, w, s in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "role", "node")), words, hashed, strict=True):
+                texts_here = batch.column("text").to_pylist()
+                hashed = [hasher.shingles(h) for h in hasher.word_hashes(texts_here)]
+                for a, salt, role, node, text, s in zip(*(batch.column(c).to_pylist() for c in ("a", "salt", "role", "node")), texts_here, hashed, strict=True):
                     if node != set_names(s, seed)[0]:  # an id may stand on several texts
                         continue
                     if not role:
                         if (a, salt) != key:
-                            key, head, head_words, head_set = (a, salt), s, w, None
+                            key, head, head_text, head_set = (a, salt), s, text, None
                     elif (a, salt) == key:
                         near = len(np.intersect1d(s, head, assume_unique=True))
                         if near and links(len(s), len(head), near + 2):
-                            head_set = head_set or shingle_tuples(head_words, n)
-                            own = shingle_tuples(w, n)
+                            head_set = head_set or shingle_tuples(split_words(head_text), n)
+                            own = shingle_tuples(split_words(text), n)
                             both = len(own & head_set)
                             if both and links(len(own), len(head_set), both):
                                 found.append((a, node))

@@ -757,6 +757,22 @@ def test_sketch_never_exceeds_the_difference():
         assert 0 < apart[0] <= len(np.setxor1d(a, b)) and apart[1] == 0 and apart[2] == apart[0]
 
 
+def test_word_hashes_follow_words(monkeypatch):
+    """Equal words have equal hashes wherever they stand; different ones differ; texts are cut at the six blanks."""
+    monkeypatch.setattr(ngram_join, "TEXT_BLOCK", 3000)
+    rng = random.Random(12)
+    alphabet = ["a", "b", "A", "B", "é", "\U0001f600", "\u00a0", "\x00", " ", " ", "\t", "\n", "\v", "\f", "\r", "\x1c", "\x85"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60))) for _ in range(400)] + [None, "", " ", "x" * 63, "x" * 64, "x" * 65, "y" * 200_000 + " z", " ".join("w" * k for k in range(1, 140))]
+    texts += [" ".join(rng.choice(["ab", "Ab", "ba"]) for _ in range(60_000))]
+    known: dict[bytes, int] = {}
+    for text, hashes in zip(texts, ngram_join.Hasher(3).word_hashes(texts), strict=True):
+        words = ngram_join.split_words(text)
+        assert len(words) == len(hashes)
+        for w, h in zip(words, hashes.tolist(), strict=True):
+            assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known) > 500
+
+
 def test_meetings_in_many_blocks_lose_no_link(spark, monkeypatch):
     """Copies of one text, each further away than the one before: components that only meet in round two."""
     monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 600)
