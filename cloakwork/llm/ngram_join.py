@@ -50,6 +50,8 @@ VERIFY_COST = 2.0
 SKETCH_BITS, LEAST_BITS = 2, 512
 #: Bytes of signatures and sketches that one task holds of a meeting in round two, more or less.
 BLOCK_BYTES = 4 << 20
+#: Sets of a meeting that one task holds, and that pass by it, more or less.
+BLOCK_SETS = 2048
 #: Pairs' sketches that are compared at a time, in bytes.
 COMPARED_BYTES = 16 << 20
 #: Members that one task verifies against a pivot.
@@ -429,19 +431,23 @@ def _meetings(labelled: DataFrame, names: DataFrame, t: Fraction, owners: int) -
     to the one that has most of its sets.  There each set comes once, with all
     signatures that went there, and meets the sets of other components with
     which it shares one.  Sets outside that component are dealt to blocks of
-    about ``BLOCK_BYTES``, and all sets of the meeting pass by each block.
+    about ``BLOCK_BYTES`` or ``BLOCK_SETS``, and all sets of the meeting pass by
+    each block, in slices of so many sets.
     """
     per_label = labelled.groupBy("sig", "label").count()
     main = per_label.groupBy("sig").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("sig", "main")
     met = labelled.join(main, "sig").groupBy("main", "node").agg(F.max("label").alias("label"), F.collect_list("sig").alias("sigs"))  # a set's own signatures
     facts = names.select(F.col("set_id").alias("node"), "n", "sketch")
     met = cut(met.join(facts, "node").select("main", "node", "label", "n", "sketch", "sigs"))
-    weight = F.octet_length("sketch") + 8 * F.size("sigs")
-    blocks = met.where("label <> main").groupBy("main").agg(F.ceil(F.sum(weight) / BLOCK_BYTES).cast("int").alias("blocks"))
+    weight, apart = F.octet_length("sketch") + 8 * F.size("sigs"), F.col("label") != F.col("main")
+    sizes = met.groupBy("main").agg(F.sum(F.when(apart, weight)).alias("bytes"), F.sum(apart.cast("int")).alias("held"), F.count("*").alias("all"))
+    blocks = sizes.select("main", F.ceil(F.greatest(F.col("bytes") / BLOCK_BYTES, F.col("held") / BLOCK_SETS)).cast("int").alias("blocks"), F.ceil(F.col("all") / BLOCK_SETS).cast("int").alias("slices"))
     dealt = met.join(F.broadcast(blocks) if blocks.limit(LISTED_PAIRS + 1).count() <= LISTED_PAIRS else blocks, "main")
-    own = dealt.where("label <> main").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("role", F.lit(0))
-    passing = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(1))
-    columns = ("main", "block", "role", "node", "label", "n", "sketch", "sigs")
+    place = lambda among, turn: F.pmod(F.xxhash64("node", F.lit(turn)), F.col(among)).cast("int")
+    each = lambda among: F.explode(F.sequence(F.lit(0), F.col(among) - 1))
+    own = dealt.where(apart).withColumn("block", place("blocks", 0)).withColumn("slice", each("slices")).withColumn("role", F.lit(0))
+    passing = dealt.withColumn("slice", place("slices", 1)).withColumn("block", each("blocks")).withColumn("role", F.lit(1))
+    columns = ("main", "block", "slice", "role", "node", "label", "n", "sketch", "sigs")
     every = own.select(*columns).unionByName(passing.select(*columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -450,7 +456,7 @@ def _meetings(labelled: DataFrame, names: DataFrame, t: Fraction, owners: int) -
             rows = batch.to_pydict()
             sigs = batch.column("sigs")
             ends, flat = sigs.offsets.to_numpy(), sigs.values.to_numpy()
-            keys = list(zip(rows["main"], rows["block"], strict=True))
+            keys = list(zip(rows["main"], rows["block"], rows["slice"], strict=True))
             at = 0
             while at < len(keys):
                 stop = at
@@ -467,7 +473,7 @@ def _meetings(labelled: DataFrame, names: DataFrame, t: Fraction, owners: int) -
                         yield pa.RecordBatch.from_pydict({"a": pa.array(found.min(axis=1)), "b": pa.array(found.max(axis=1))})
                 at = stop
 
-    return every.repartition(owners, "main", "block").sortWithinPartitions("main", "block", "role").mapInArrow(run, "a long, b long").distinct()
+    return every.repartition(owners, "main", "block", "slice").sortWithinPartitions("main", "block", "slice", "role").mapInArrow(run, "a long, b long").distinct()
 
 
 class Block:

@@ -776,6 +776,7 @@ def test_word_hashes_follow_words(monkeypatch):
 def test_meetings_in_many_blocks_lose_no_link(spark, monkeypatch):
     """Copies of one text, each further away than the one before: components that only meet in round two."""
     monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 600)
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", 7)
     rng = random.Random(3)
     rows = []
     for family in range(3):
