@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import sub_batches, text_view
+from .common import lean, sub_batches, text_view
 
 #: Ready-encoded words in each of a worker's tables.
 CACHE_WORDS = 200_000
@@ -367,7 +367,7 @@ def encode_documents(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", t
                     out["decoded"] = pa.array(back, pa.string())
                 yield pa.RecordBatch.from_pydict(out)
 
-    return text_view(docs, id_col, text_col).mapInArrow(run, schema)
+    return text_view(docs, id_col, text_col).mapInArrow(lean(run), schema)
 
 
 def decode_ids(df: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -379,4 +379,4 @@ def decode_ids(df: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col:
             texts = [None if x is None else bpe.decode(np.asarray(x, dtype="<u4").tobytes()) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "decoded": pa.array(texts, pa.string())})
 
-    return df.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{ids_col}` as ids").mapInArrow(run, "doc_id long, decoded string")
+    return df.selectExpr(f"cast(`{id_col}` as long) as doc_id", f"`{ids_col}` as ids").mapInArrow(lean(run), "doc_id long, decoded string")

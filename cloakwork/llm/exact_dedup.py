@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, fresh, sub_batches
+from .common import cut, fresh, lean, sub_batches
 
 #: Distinct keys a bucket may hold before it is split.
 BUCKET_KEYS = 4096
@@ -123,7 +123,7 @@ def _entries(docs: DataFrame, range_bits: int) -> DataFrame:
         if chains:
             yield send()
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text"), "key").mapInArrow(run, _ENTRY)
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text"), "key").mapInArrow(lean(run), _ENTRY)
 
 
 def _own(range_bits: int, bucket_keys: int):
@@ -192,7 +192,7 @@ def build_index(docs: DataFrame, thin: DataFrame, bucket_keys: int = BUCKET_KEYS
     if repeated.limit(LISTED + 1).count() <= LISTED:
         docs = docs.join(F.broadcast(repeated), "key", "left_semi")
     entries = _entries(docs, range_bits).repartition(owners, "range").sortWithinPartitions("range", "key")
-    return cut(entries.mapInArrow(_own(range_bits, bucket_keys), _INDEX))
+    return cut(entries.mapInArrow(lean(_own(range_bits, bucket_keys)), _INDEX))
 
 
 def exact_groups(docs: DataFrame, *, bucket_keys: int = BUCKET_KEYS, id_col: str = "doc_id", text_col: str = "text", normalise=None) -> DataFrame:

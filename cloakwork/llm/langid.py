@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, crc_bucket, sub_batches
+from .common import bounded_sample, crc_bucket, lean, sub_batches
 
 #: Rows of each language that training takes at most, those with the smallest hashes of their ids.
 SAMPLE_ROWS = 1000
@@ -182,7 +182,7 @@ def identify(docs: DataFrame, *, hold_out: int = 4, held_remainder: int = 2, sam
                 bags = [bag(t) for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "ids": pa.array([i.astype(np.int32) for i, _ in bags], pa.list_(pa.int32())), "times": pa.array([n.astype(np.int32) for _, n in bags], pa.list_(pa.int32()))})
 
-    bags = bounded_sample(usable, "doc_id", sample_rows, "lang").select("doc_id", "lang", "text").mapInArrow(hashed, "doc_id long, lang string, ids array<int>, times array<int>")
+    bags = bounded_sample(usable, "doc_id", sample_rows, "lang").select("doc_id", "lang", "text").mapInArrow(lean(hashed), "doc_id long, lang string, ids array<int>, times array<int>")
     sample = bags.toArrow().sort_by("doc_id")
     model = train_bags([(i.values.to_numpy(), n.values.to_numpy()) for i, n in zip(sample.column("ids"), sample.column("times"), strict=True)], sample.column("lang").to_pylist())
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -201,5 +201,5 @@ def identify(docs: DataFrame, *, hold_out: int = 4, held_remainder: int = 2, sam
                 rejected = [not model or s < model.threshold or x == "und" for s, x in zip(score, lang, strict=True)]
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang_pred": pa.array(lang, pa.string()), "score": pa.array(score, pa.float64()), "rejected": pa.array(rejected, pa.bool_())})
 
-    made = rows.select("doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    made = rows.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, lang_pred string, score double, rejected boolean")
     return made.select("doc_id", F.coalesce(bucket == held_remainder, F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")

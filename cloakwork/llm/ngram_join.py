@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, fresh, sub_batches
+from .common import arrow_map, cut, fresh, lean, sub_batches
 
 #: Chance, in the cost model, that a set holds an n-gram of another one by accident.
 SHARED = 0.05
@@ -320,7 +320,7 @@ def _describe(rows: DataFrame, n: int, seed: int) -> DataFrame:
                     }
                 )
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, set_id long, check long, sketch binary")
+    return rows.mapInArrow(lean(run), "doc_id long, n_shingles long, set_id long, check long, sketch binary")
 
 
 _PACK = ("bucket", "kind", "sigs", "names", "pivots", "members")
@@ -406,8 +406,8 @@ def _shared_signatures(rows: DataFrame, n: int, bands: Bands, owners: int, seed:
         if (out := close()) is not None:
             yield out
 
-    packed = rows.select("text").mapInArrow(send, "bucket int, kind int, sigs binary, names binary, pivots binary, members binary")
-    return packed.repartition(owners, "bucket").sortWithinPartitions("bucket").mapInArrow(own, "sig long, pivot long, member long")
+    packed = rows.select("text").mapInArrow(lean(send), "bucket int, kind int, sigs binary, names binary, pivots binary, members binary")
+    return packed.repartition(owners, "bucket").sortWithinPartitions("bucket").mapInArrow(lean(own), "sig long, pivot long, member long")
 
 
 def _not_ruled_out(pairs: DataFrame, names: DataFrame, t: Fraction) -> DataFrame:
@@ -473,7 +473,7 @@ def _meetings(labelled: DataFrame, names: DataFrame, t: Fraction, owners: int) -
                         yield pa.RecordBatch.from_pydict({"a": pa.array(found.min(axis=1)), "b": pa.array(found.max(axis=1))})
                 at = stop
 
-    return every.repartition(owners, "main", "block", "slice").sortWithinPartitions("main", "block", "slice", "role").mapInArrow(run, "a long, b long").distinct()
+    return every.repartition(owners, "main", "block", "slice").sortWithinPartitions("main", "block", "slice", "role").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 class Block:
@@ -551,7 +551,7 @@ def _verify(pairs: DataFrame, names: DataFrame, rows: DataFrame, n: int, t: Frac
                 if found:
                     yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
-    return texts.repartition(owners, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(run, "a long, b long").distinct()
+    return texts.repartition(owners, "a", "salt").sortWithinPartitions("a", "salt", "role").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

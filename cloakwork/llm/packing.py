@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import sub_batches
+from .common import lean, sub_batches
 
 #: Pieces a task holds before it closes sequences; more give less padding, the memory is this times the capacity.
 POOL = 1024
@@ -183,4 +183,4 @@ def pack_documents(
         if (out := packer.taken()) is not None:
             yield out
 
-    return rows.mapInArrow(run, _SCHEMA + ", ids array<int>" * keep_ids)
+    return rows.mapInArrow(lean(run), _SCHEMA + ", ids array<int>" * keep_ids)

@@ -25,11 +25,12 @@ import hashlib
 import re
 from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sub_batches
+from .common import lean, sub_batches
 
 ROUNDS = 10
 _DIGITS = "0123456789"
@@ -336,21 +337,23 @@ def pseudonymise(docs: DataFrame, key: bytes, *, text_col: str = "text", count_c
     parts = kept.withColumn(text_col, F.struct(F.col(text_col).cast("string").alias("text")))
     feistel = Feistel(key)
 
-    @F.pandas_udf("text string, n int, kinds map<string,int>")
-    def swap(texts):
-        import pandas as pd
+    def swapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for text in texts["text"]:
+                if text is None:
+                    rows.append((None, 0, {}))
+                    continue
+                new, spans = pseudonymise_text(text, feistel)
+                kinds: dict[str, int] = {}
+                for _, _, kind, _ in spans:
+                    kinds[kind] = kinds.get(kind, 0) + 1
+                rows.append((new, len(spans), kinds))
+            yield pd.DataFrame(rows, columns=["text", "n", "kinds"])
 
-        rows = []
-        for text in texts["text"]:
-            if text is None:
-                rows.append((None, 0, {}))
-                continue
-            new, spans = pseudonymise_text(text, feistel)
-            kinds: dict[str, int] = {}
-            for _, _, kind, _ in spans:
-                kinds[kind] = kinds.get(kind, 0) + 1
-            rows.append((new, len(spans), kinds))
-        return pd.DataFrame(rows, columns=["text", "n", "kinds"])
+    @F.pandas_udf("text string, n int, kinds map<string,int>")
+    def swap(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from lean(swapped)(batches)
 
     done = parts.withColumn(text_col, swap(F.col(text_col)))
     out = [F.col(f"{text_col}.text").alias(text_col) if c == text_col else F.col(f"`{c}`") for c in parts.columns]
@@ -373,4 +376,4 @@ def pseudonym_spans(docs: DataFrame, key: bytes, *, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_pydict({n: pa.array(c, t) for n, c, t in zip(("doc_id", "start", "length", "kind", "pseudonym"), columns, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, start long, length long, kind string, pseudonym string")
+    return rows.mapInArrow(lean(run), "doc_id long, start long, length long, kind string, pseudonym string")

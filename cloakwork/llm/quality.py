@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, sub_batches
+from .common import cut, lean, sub_batches
 
 SYMBOLS = b"#*$%&|<>"
 BLANKS = b" \t\n\v\f\r"
@@ -113,7 +113,7 @@ def count_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 counts = np.array([text_counts(t) for t in batch.column("text").to_pylist()], np.int64).reshape(-1, len(_COUNTS))
                 yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in ("doc_id", "lang", "source")} | {c: pa.array(counts[:, k]) for k, c in enumerate(_COUNTS)})
 
-    return rows.mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in _COUNTS))
+    return rows.mapInArrow(lean(run), "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in _COUNTS))
 
 
 def base_failed(least_words: int = 10, most_repeated: int = 20):

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .bpe import Recent
-from .common import bounded_sample, crc_bucket, fresh, sub_batches, text_view
+from .common import bounded_sample, crc_bucket, fresh, lean, sub_batches, text_view
 
 #: Labelled documents of each class that training takes at most, those with the smallest hashes of their ids.
 SAMPLE_PER_CLASS = 4000
@@ -37,6 +37,8 @@ LEAST_PAIR_CHI2 = 40.0
 PAIR_TERMS = 1024
 PAIR_ROWS = 8
 EPOCHS = 12
+#: Words whose features a task keeps, twice; some 450 bytes each.
+KEPT_WORDS = 50_000
 _TRIM = b".,;:!?\"'()[]{}<>*#$%&|-_=+~/\\"
 _STEMS = (4, 5, 6)
 
@@ -85,7 +87,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_
                 terms = [np.array(text_terms(t), np.int32) for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "terms": pa.array(terms, pa.list_(pa.int32()))})
 
-    table = rows.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, terms array<int>").toArrow().sort_by("doc_id")
+    table = rows.select("doc_id", "toxic", "text").mapInArrow(lean(run), "doc_id long, toxic int, terms array<int>").toArrow().sort_by("doc_id")
     offsets = [c.offsets.to_numpy() for c in table.column("terms").chunks]
     flat = [c.values.to_numpy() for c in table.column("terms").chunks]
     lists = [f[i:j] for f, o in zip(flat, offsets, strict=True) for i, j in zip(o, o[1:], strict=False)]
@@ -179,9 +181,12 @@ def score_column(docs: DataFrame, model: Model, text_col: str = "text"):
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from lean(scored)(batches)
+
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = shared.value
         place = {int(b): i for i, b in enumerate(model.buckets)}
-        recent = Recent()
+        recent = Recent(KEPT_WORDS)
         for texts in batches:
             logits = []
             for at in range(0, len(texts), 500):

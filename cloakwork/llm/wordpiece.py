@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import Recent, byte_symbols
-from .common import sub_batches, text_view
+from .common import lean, sub_batches, text_view
 
 _SPACE = byte_symbols()[32]
 #: Words of more bytes run alone, so that few of them don't hold up the others' steps.
@@ -181,4 +181,4 @@ def count_tokens(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_
                     }
                 )
 
-    return text_view(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_words long, n_tokens long, n_unknown long")
+    return text_view(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, n_words long, n_tokens long, n_unknown long")
