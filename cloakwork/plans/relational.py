@@ -262,6 +262,31 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.per_file(o.where("o_orderkey % 4 <> 0"), o.where("o_orderkey % 3 <> 0").withColumn("value", F.lower("value")))
 
 
+_SETS = "select o_orderpriority as file, lower(o_orderstatus || o_orderkey) as value, o_orderkey % 4 <> 0 as e, o_orderkey % 3 <> 0 as c from orders"
+
+
+@query(f"select file, case when bool_or(e) then 'missed' else 'extra' end as kind, value from ({_SETS}) group by file, value having bool_or(e) <> bool_or(c)")
+def score_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values behind the counts: missed ones and extra ones."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("file"), F.concat("o_orderstatus", "o_orderkey").alias("value"), "o_orderkey")
+    return score.differences(o.where("o_orderkey % 4 <> 0"), o.where("o_orderkey % 3 <> 0"))
+
+
+@query(
+    "with new as (select c_custkey, row_number() over (order by c_custkey % 2, c_custkey) + (select count(*) from customer where c_custkey % 10 = 0) as n from customer where c_custkey % 10 <> 0 and c_custkey % 3 <> 0)"
+    " select c_name as \"from\", 'V' || c_custkey as \"to\", 'brand:' || c_custkey as id from customer where c_custkey % 10 = 0"
+    " union all select c_name, 'Q' || c_custkey || 'z', 'brand:' || lpad(n::varchar, greatest(4, length(n::varchar))::int, '0') from new join customer using (c_custkey)"
+)
+def promote_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two lists merged in their order: skipped rows and values that the map holds stay out."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey")
+    smap = c.where(k % 10 == 0).select(F.lit("brand").alias("category"), k.cast("int").alias("entry_ord"), F.col("c_name").alias("from"), F.concat(F.lit("V"), k).alias("to"), F.concat(F.lit("brand:"), k).alias("id"))
+    cands = c.select(k.alias("ord"), F.lit("brand").alias("category"), F.col("c_name").alias("value"), F.concat(F.lit("Q"), k, F.lit("z")).alias("suggested_placeholder"), F.when(k % 3 == 0, "skip").otherwise("pending").alias("decision"), F.lit("T0_rules").alias("tier"))
+    grown, _, _ = triage.promote(smap, [cands.where(F.col("ord") % 2 == 0), cands.where(F.col("ord") % 2 == 1)])
+    return grown.select("from", "to", "id")
+
+
 @query(f"select file, tp, fp, fn, round(p, 3) as precision, round(r, 3) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0 end, 3) as f1 from (select *, {_RATES} from ({_COUNTS}))")
 def score_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir)
