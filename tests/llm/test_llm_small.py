@@ -645,6 +645,20 @@ def test_repeated_words_equal_brute_force():
             assert quality.repeated_words(words) == brute_repeats(words)
 
 
+def test_counts_equal_brute_force(docs):
+    """Every count of random texts and of real ones, from its definition alone."""
+    import re
+
+    rng = random.Random(10)
+    alphabet = ["a", "bc", "é", "\U0001f600", "#", "*$", "<>", " ", " ", "\t", "\n", "\n", "\x0b", "\x0c", "\r", "\u00a0", "\x1c", "same line\n"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 80))) for _ in range(400)] + [r.text for r in docs.limit(60).collect()] + [None, "", " \n "]
+    for text in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        want = (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), sum(x in lines[:k] for k, x in enumerate(lines)), brute_repeats(words), len(lines))
+        assert quality.text_counts(text) == want
+
+
 def test_counts_and_base_rule(odd):
     assert quality.text_counts("a # b\n\na # b\nÉé|\x0b") == (7, 9, 3, 1, 0, 3)
     rows = quality.quality_verdicts(odd).collect()
