@@ -771,6 +771,21 @@ def test_sketch_never_exceeds_the_difference():
         assert 0 < apart[0] <= len(np.setxor1d(a, b)) and apart[1] == 0 and apart[2] == apart[0]
 
 
+def test_sets_that_share_a_name_are_named_anew(spark, monkeypatch):
+    seeds = []
+    describe = ngram_join._describe
+
+    def colliding(rows, n, seed):
+        seeds.append(seed)
+        thin = describe(rows, n, seed)
+        return thin.withColumn("set_id", F.lit(5).cast("long")) if seed == 0 else thin
+
+    monkeypatch.setattr(ngram_join, "_describe", colliding)
+    rows = near_copies(5, 60)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert seeds == [0, 1] and got == brute_components(rows, 3, Fraction(9, 10))
+
+
 def test_word_hashes_follow_words(monkeypatch):
     """Equal words have equal hashes wherever they stand; different ones differ; texts are cut at the six blanks."""
     monkeypatch.setattr(ngram_join, "TEXT_BLOCK", 3000)
