@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from cloakwork import rules as rules_table
@@ -103,6 +104,29 @@ def test_map_values_are_found_as_by_brute_force(spark, monkeypatch, pass_values)
         assert sorted(got.get(i, [])) == brute_hits(t, entries), t
 
 
+@pytest.mark.parametrize(("pass_values", "letters"), [(2, 1000), (1000, 5), (1000, 1000)])
+def test_map_values_are_counted_as_by_brute_force(spark, monkeypatch, pass_values, letters):
+    monkeypatch.setattr(verify, "PASS_VALUES", pass_values)
+    monkeypatch.setattr(verify, "PASS_LETTERS", letters)
+    entries = [("ids", 0, "a a", "x", "m:1"), ("ids", 1, "Bank", "y", "m:2"), ("brand", 2, "bank", "BANK", ""), ("phones", 3, "ban", "z", ""), ("headers", 4, "Straße", "w", "m:5"), ("ids", 5, "*.acme", "v", "m:6")]
+    texts = ["a a a a A a", "bank Bank BANK banks", "stra\u1e9ee STRA\u1e9eE Straße", "x*.ACME *.acme", "", "\u03a3\u0391\u03a3 bank", "A a a a a"]
+    seg = spark.createDataFrame([(str(i), 0, "0", t) for i, t in enumerate(texts)] + [("none", 0, "0", None)], SEG)
+    got = {(h.file_rel, h.source): h.n_hits for h in verify.literal_counts(seg, spark.createDataFrame(entries, MAP), normalise=False).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        for pattern, _, _ in brute_hits(t, entries):
+            key = str(i), pattern if pattern == verify.REGRESSION else "map"
+            want[key] = want.get(key, 0) + 1
+    assert got == want
+
+
+def test_a_text_of_many_hits_is_handed_on_in_small_batches(monkeypatch):
+    monkeypatch.setattr(verify, "BATCH_HITS", 100)
+    piece = pa.table({"from": ["ab"], "rank": pa.array([None], pa.int64()), "to": pa.array([None], pa.string()), "name": pa.array([None], pa.string())})
+    sizes = [b.num_rows for b in verify.hit_batches(iter([("a", "ab" * 1050)]), verify.Values(piece, str))]
+    assert sum(sizes) == 1050 and max(sizes) == 100
+
+
 def test_no_rules_changes_nothing(spark):
     seg = spark.createDataFrame([("a", 0, "0", "text"), ("b", 0, "0", None)], SEG)
     done = rewrite.apply_rules(seg, rewrite.compile_rules(spark.createDataFrame([], MAP))).collect()
