@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 
 # Fixed value: invisible characters that normalisation deletes.
 ZERO_WIDTH = "[​-‏‪-‮⁠﻿]"
+#: Letters whose capitals are several letters, and the one letter that stands for those.
+ONE_CAPITAL = ("ßᾀᾁᾂᾃᾄᾅᾆᾇᾐᾑᾒᾓᾔᾕᾖᾗᾠᾡᾢᾣᾤᾥᾦᾧᾳῃῳ", "ẞᾈᾉᾊᾋᾌᾍᾎᾏᾘᾙᾚᾛᾜᾝᾞᾟᾨᾩᾪᾫᾬᾭᾮᾯᾼῌῼ")
 # End of fixed values.
 
 
@@ -43,6 +45,12 @@ def match_case(reference: Column, target: Column) -> Column:
     return F.when((reference == "") | (target == ""), target).when(upper, F.upper(target)).when(lower, F.lower(target)).when(titled, title(target)).otherwise(target)
 
 
+def upper_by_letter(text: Column) -> Column:
+    """Capitals letter for letter: a sharp s stays one letter, and so do ligatures."""
+    one = lambda c: F.when(F.length(F.upper(c)) > 1, F.translate(c, *ONE_CAPITAL)).otherwise(F.upper(c))
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), one), "")
+
+
 def title(text: Column) -> Column:
     """Capitals after anything that is no letter, small letters after letters."""
     return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"\p{L}+|\P{L}+"), F.lit(0)), lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substr(p, F.lit(2))))), "")

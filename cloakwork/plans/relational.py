@@ -29,7 +29,7 @@ def _cands(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, v = F.col("doc_id"), F.substring("text", 1, 24)
     return table(spark, sf_dir, "documents").select(
         k, v.alias("value"), _category(k).alias("category"),
-        F.when(k % 7 == 0, "").when(k % 7 == 1, F.upper(v)).otherwise(F.concat(F.lit("Vendor"), k)).alias("suggested_placeholder"),
+        F.when(k % 7 == 0, "").when(k % 7 == 1, text.upper_by_letter(v)).otherwise(F.concat(F.lit("Vendor"), k)).alias("suggested_placeholder"),
         (F.lit(0.5) + (k % 50) / 100).alias("confidence"), F.when(k % 11 == 0, "T0_rules").otherwise("T1_llm").alias("tier"),
         F.when(k % 3 == 0, "yes").when(k % 3 == 1, "no").otherwise("uncertain").alias("critic_is_real_leak"),
         F.when(k % 5 == 0, "no").otherwise("yes").alias("critic_placeholder_safe"), ((k % 20) / 20).alias("critic_confidence"),

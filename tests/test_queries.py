@@ -35,3 +35,13 @@ def test_query(name, spark, duck):
     assert sorted(names) == columns
     want = [tuple(r[names.index(c)] for c in columns) for r in result.fetchall()]
     assert canonical(got) == canonical(want)
+
+
+def test_triage_takes_capitals_letter_for_letter(spark, tmp_path):
+    odd = [c for c in map(chr, range(0x20, 0xFFFF)) if not 0xD800 <= ord(c) < 0xE000 and len(c.upper()) > 1]
+    rows = [(8226 + 11550 * i, f"{c} and so{c}") for i, c in enumerate(odd)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(catalogue.oracle_sql()["triage_buckets"]).fetchall()
+    assert len(odd) > 100 and canonical(catalogue.queries()["triage_buckets"](spark, str(tmp_path)).select("doc_id", "bucket").collect()) == canonical(want)
